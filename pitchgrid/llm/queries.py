@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pitchgrid.llm.aliases import alias_clusters, alias_pairs
+from pitchgrid.llm.canonical import map_clubs, map_venues
 from pitchgrid.llm.groups import identity_groups
 from pitchgrid.llm.leakage import leaked_items
+from pitchgrid.llm.packing import packed_documents, packing_report
 from pitchgrid.llm.truncation import truncation_shares, truncation_signals
 from pitchgrid.runtime import table
 
@@ -30,5 +34,43 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of alias rows of one squad that mean the same player under different names."""
+    return alias_pairs(alias_clusters(table(spark, sf_dir, "player_alias_map")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed grounds and home teams with their entry of the clean lists, or none."""
+    venues = map_venues(table(spark, sf_dir, "stadiums"), table(spark, sf_dir, "venue_list"))
+    clubs = table(spark, sf_dir, "teams")
+    typed = table(spark, sf_dir, "matches").select(F.col("id_match").alias("row_id"), F.col("id_home_team").alias("value")).distinct()
+    typed = typed.join(clubs.select(F.col("id_team").alias("value")), "value", "left_anti")
+    mapped = typed.join(map_clubs(typed, clubs), "value", "left").select("row_id", F.coalesce("ref_id", F.lit("none")).alias("ref_id"))
+    return (
+        venues.select(F.lit("stadiums").alias("tab"), "row_id", F.lit("venue_name").alias("field"), "ref_id")
+        .unionByName(mapped.select(F.lit("matches").alias("tab"), "row_id", F.lit("id_home_team").alias("field"), "ref_id"))
+        .distinct()
+    )
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their containers."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing_report(packed_documents(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
+}
 SQL: dict[str, str] = {}
