@@ -9,6 +9,7 @@ from pitchgrid.llm.aliases import alias_clusters, alias_pairs
 from pitchgrid.llm.canonical import map_clubs, map_venues
 from pitchgrid.llm.groups import identity_groups
 from pitchgrid.llm.leakage import leaked_items
+from pitchgrid.llm.matching import match_observations
 from pitchgrid.llm.packing import packed_documents, packing_report
 from pitchgrid.llm.truncation import truncation_shares, truncation_signals
 from pitchgrid.runtime import table
@@ -39,6 +40,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alias_pairs(alias_clusters(table(spark, sf_dir, "player_alias_map")))
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching observations of two sources with their confidence."""
+    return match_observations(table(spark, sf_dir, "player_observations"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of observations of two sources that describe one player."""
+    return p4_matches(spark, sf_dir).select("obs_id_a", "obs_id_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed grounds and home teams with their entry of the clean lists, or none."""
     venues = map_venues(table(spark, sf_dir, "stadiums"), table(spark, sf_dir, "venue_list"))
@@ -65,6 +76,8 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p8_packed": p8_packed,
