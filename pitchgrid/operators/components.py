@@ -65,5 +65,7 @@ def guarded_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         return pd.DataFrame({"vertex": list(parent), "component": [root(v) for v in parent]})
 
     kind = dict(whole.dtypes)["vertex"]
-    parts = inside.groupBy("component").cogroup(held.groupBy("component")).applyInPandas(split, f"vertex {kind}, component {kind}")
+    inside = inside.select(F.col("component").alias("part"), "a", "b", "priority")
+    held = held.select(F.col("component").alias("whole"), "vertex", "ids")
+    parts = inside.groupBy("part").cogroup(held.groupBy("whole")).applyInPandas(split, f"vertex {kind}, component {kind}")
     return whole.join(bad, "component", "left_anti").select("vertex", "component").unionByName(parts)

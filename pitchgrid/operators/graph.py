@@ -34,7 +34,7 @@ def triples(df: DataFrame, kind: str, key: str, label: str | None = None, proper
     """
     kinds = dict(df.dtypes)
     row = lambda p, o, t: F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(t).alias("o_type"))
-    cells = [row(RDF_TYPE, F.lit(f"{BASE}ontology/{kind}"), "iri"), row(RDFS_LABEL, F.coalesce(F.col(label), F.col(key)) if label else F.col(key), "string")]
+    cells = [row(RDF_TYPE, F.lit(f"{BASE}ontology/{kind}"), "iri"), row(RDFS_LABEL, F.coalesce(F.col(label).cast("string"), F.col(key).cast("string")) if label else F.col(key), "string")]
     for c in properties or []:
         shown = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") if kinds[c] == "timestamp" else F.col(c)
         cells.append(row(f"{BASE}ontology/{c}", shown, DATATYPES.get(kinds[c], "string")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchgrid.plans import data_problems
+from pitchgrid.plans import data_problems, football, star_queries
 
-_MODULES = [data_problems]
+_MODULES = [star_queries, football, data_problems]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
