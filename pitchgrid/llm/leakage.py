@@ -245,6 +245,15 @@ def same_answers(doc: np.ndarray, item: np.ndarray, answers: np.ndarray, begin:
     return not len(asked) or 2 * int(np.isin(asked, doc).sum()) > len(asked)
 
 
+def answers_needed(answers: np.ndarray) -> int:
+    """Names and figures of an item that must be near, for any run of it to pass :func:`same_answers`."""
+    if len(answers) < LEAK_WORDS:
+        return 0
+    total = np.concatenate([[0], np.cumsum(answers)])
+    least = int((total[LEAK_WORDS:] - total[:-LEAK_WORDS]).min())
+    return least // 2 + 1 if least else 0
+
+
 def search(ids, texts, idf, basis, query, owner, wanted) -> list[tuple[int, int, int, float]]:
     """(doc, item, repeated words, cosine) of the texts of one batch: candidates by cosine, then alignment."""
     lengths = np.array([len(t) for t in texts])
@@ -265,6 +274,7 @@ def search(ids, texts, idf, basis, query, owner, wanted) -> list[tuple[int, int,
             at.append(s + w)
             regions[key] = (at, max(best, float(cosine[w, k])))
     offsets = np.cumsum(lengths) - lengths
+    asked = [answers_needed(answers) for _, _, answers in wanted]
     needed = LEAK_WORDS - LEAK_WORDS // ERROR_EVERY
     out = []
     for (text_no, k), (at, best) in regions.items():
@@ -279,7 +289,7 @@ def search(ids, texts, idf, basis, query, owner, wanted) -> list[tuple[int, int,
                 spans.append([a, b])
         for a, b in spans:
             near = own[a:b]
-            if np.isin(near, codes).sum() < needed or not may_align(near, codes):
+            if np.isin(near, codes).sum() < needed or np.isin(codes[answers], near).sum() < asked[k] or not may_align(near, codes):
                 continue
             n, _, j = aligned_words(near, codes)
             if n >= LEAK_WORDS and same_answers(near, codes, answers, j - n, j):
