@@ -1,8 +1 @@
 """Spark-native analytics over a football knowledge graph: sources, operators, plans, streams."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions that run in Python workers travel with their code, so no worker needs this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
