@@ -18,6 +18,8 @@ JACCARD = 0.3
 KIND_SHARE = 0.01
 #: A typed word says nothing about the entry if it occurs in so many countries.
 SPREAD = 4
+#: ... and in this share of the different spellings.
+SPREAD_SHARE = 0.0005
 #: Similarities from which a name alone, a name beside the right place, or a place alone decides.
 NAME_ALONE, NAME_WITH_PLACE, PLACE_ALONE = 0.5, 0.3, 0.5
 #: Jaccard from which places, and the single words of clubs, are candidates; edits then decide.
@@ -68,17 +70,18 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float = JACCAR
         prefix = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
         return sets.select(key, F.transform("s", lambda x: x["token"]).alias("s"), size.alias("size"), prefix.alias("prefix"))
 
-    a = cut(ordered(left, "lid").withColumnsRenamed({"s": "ls", "size": "ln", "prefix": "lp"}))
-    b = cut(ordered(right, "rid").withColumnsRenamed({"s": "rs", "size": "rn", "prefix": "rp"}))
+    a = ordered(left, "lid").withColumnsRenamed({"s": "ls", "size": "ln", "prefix": "lp"})
+    b = ordered(right, "rid").withColumnsRenamed({"s": "rs", "size": "rn", "prefix": "rp"})
     heads_a = a.select("lid", "ln", F.posexplode(F.slice("ls", F.lit(1), F.col("lp"))).alias("i", "token"))
     heads_b = b.select("rid", "rn", F.posexplode(F.slice("rs", F.lit(1), F.col("rp"))).alias("j", "token"))
     near = heads_a.join(heads_b, "token").where(
         (F.col("rn") >= threshold * F.col("ln") - 1e-9) & (F.col("ln") >= threshold * F.col("rn") - 1e-9)
         & (F.least(F.col("ln") - F.col("i"), F.col("rn") - F.col("j")) + F.least("i", "j") >= threshold / (1 + threshold) * (F.col("ln") + F.col("rn")) - 1e-9)
     )
-    pairs = near.select("lid", "rid").distinct().join(a.select("lid", "ls", "ln"), "lid").join(b.select("rid", "rs", "rn"), "rid")
+    pairs = near.select("lid", "rid").distinct().join(left.select("lid", F.col("tokens").alias("ls")), "lid").join(right.select("rid", F.col("tokens").alias("rs")), "rid")
     common = F.size(F.array_intersect("ls", "rs"))
-    return pairs.select("lid", "rid", (common / (F.col("ln") + F.col("rn") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    verified = pairs.select("lid", "rid", (common / (F.size("ls") + F.size("rs") - common)).alias("jaccard"))
+    return cut(verified.where(F.col("jaccard") >= threshold))
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -92,15 +95,22 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 3) & (share >= 0.55), share).otherwise(F.lit(0.0))
 
 
-def kind_words(words: DataFrame, share: float = KIND_SHARE) -> DataFrame:
-    """(word) of the list's names that say what an entry is, not which; at most words per name / share."""
-    total = words.agg(F.countDistinct("rid").alias("total"))
+def kind_words(words: DataFrame, share: float = KIND_SHARE) -> list[str]:
+    """Words of the list's names that say what an entry is, not which: at most words per name / ``share``."""
+    total = words.select("rid").distinct().count()
     counted = words.select("rid", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(total)).where((F.col("n") >= 3) & (F.col("n") >= share * F.col("total"))).select("word")
+    return sorted(r["word"] for r in counted.where((F.col("n") >= 3) & (F.col("n") >= share * total)).select("word").collect())
 
 
-def _as_array(words: DataFrame) -> DataFrame:
-    return words.agg(F.coalesce(F.array_sort(F.collect_set("word")), F.array().cast("array<string>")).alias("kinds"))
+def spread_words(spelled: DataFrame) -> list[str]:
+    """Typed words that stand beside :data:`SPREAD` countries and in a share of the spellings: sponsors, common adjectives.
+
+    At most words per name / :data:`SPREAD_SHARE` words pass, whatever the number of rows.
+    """
+    total = spelled.count()
+    used = spelled.select("lid", "country", F.explode("l_words").alias("word")).groupBy("word")
+    counted = used.agg(F.countDistinct("country").alias("n"), F.count("*").alias("m"))
+    return sorted(r["word"] for r in counted.where((F.col("n") >= SPREAD) & (F.col("m") >= SPREAD_SHARE * total)).select("word").collect())
 
 
 def map_venues(reports: DataFrame, venues: DataFrame) -> DataFrame:
@@ -118,8 +128,8 @@ def map_venues(reports: DataFrame, venues: DataFrame) -> DataFrame:
     listed = venues.select(F.col("id_wikidata").alias("rid"), F.col("venue_name").alias("v_name"), F.col("city").alias("v_city"), F.col("country").alias("v_country")).where("rid is not null").dropDuplicates(["rid"])
     listed = listed.withColumns({"words": folded_words("v_name"), "r_city": grams(folded_words("v_city"))})
     listed = cut(listed)
-    kinds = _as_array(kind_words(listed.select("rid", "words")))
-    listed = listed.join(F.broadcast(kinds)).withColumn("r_core", F.filter("words", lambda w: ~F.array_contains("kinds", w))).drop("kinds")
+    kinds = kind_words(listed)
+    listed = listed.withColumn("r_core", F.filter("words", lambda w: ~w.isin(kinds)))
     spelled = rows.select("venue_name", "city", "country").distinct()
     parts = name_parts("venue_name")
     spelled = spelled.withColumn("parts", parts).withColumns({
@@ -127,10 +137,8 @@ def map_venues(reports: DataFrame, venues: DataFrame) -> DataFrame:
         "l_words": folded_words(F.get("parts", F.lit(0))), "behind": folded_words(F.get("parts", F.lit(1))), "l_city_words": folded_words("city"),
     })
     spelled = cut(spelled.withColumn("place", F.when(F.size("l_city_words") > 0, F.col("l_city_words")).otherwise(F.col("behind"))))
-    spread = spelled.select(F.explode("l_words").alias("word"), "country").where("country is not null").groupBy("word").agg(F.countDistinct("country").alias("n")).where(F.col("n") >= SPREAD).select("word")
-    # words in many countries: sponsors, kinds, common adjectives; their number is that of a vocabulary, not of rows
-    empty = _as_array(spread.unionByName(kind_words(listed.select("rid", "words"))))
-    spelled = spelled.join(F.broadcast(empty)).withColumn("l_core", F.filter("l_words", lambda w: ~F.array_contains("kinds", w) & (F.length(w) > 1))).drop("kinds")
+    empty = sorted({*kinds, *spread_words(spelled)})
+    spelled = spelled.withColumn("l_core", F.filter("l_words", lambda w: ~w.isin(empty) & (F.length(w) > 1)))
     spelled = cut(spelled.select("lid", "venue_name", "city", "country", "l_core", F.array_join("place", " ").alias("l_place"), grams(F.col("place")).alias("l_city"), grams(F.col("l_core")).alias("l_name")))
     by_name = similarity_join(spelled.select("lid", F.col("l_name").alias("tokens")), listed.select("rid", grams(F.col("r_core")).alias("tokens")))
     by_place = similarity_join(spelled.select("lid", F.col("l_city").alias("tokens")), listed.select("rid", F.col("r_city").alias("tokens")), PLACE_JACCARD)
@@ -169,9 +177,14 @@ def _kind_fit(typed: list[str], kinds: list[str], listed: list[str]) -> float:
     return 1.0 if fits else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def kind_fit(typed: pd.Series, kinds: pd.Series, listed: pd.Series) -> pd.Series:
-    return pd.Series([_kind_fit(list(t), list(k), list(l)) for t, k, l in zip(typed, kinds, listed)])
+def kind_fit(kinds: list[str]):
+    """:func:`_kind_fit` of two array columns, as a pandas UDF."""
+
+    @F.pandas_udf(T.DoubleType())
+    def fit(typed: pd.Series, listed: pd.Series) -> pd.Series:
+        return pd.Series([_kind_fit(list(t), kinds, list(l)) for t, l in zip(typed, listed)], dtype="float64")
+
+    return fit
 
 
 def map_clubs(values: DataFrame, clubs: DataFrame) -> DataFrame:
@@ -186,10 +199,10 @@ def map_clubs(values: DataFrame, clubs: DataFrame) -> DataFrame:
     spelled = cut(values.select("value").where("value is not null").distinct().withColumns({"l_words": folded_words("value"), "lid": F.xxhash64("value")}))
     listed = clubs.select(F.col("id_team").alias("rid"), "name").where("rid is not null").dropDuplicates(["rid"])
     listed = cut(listed.withColumn("words", folded_words(F.coalesce("name", F.replace("rid", F.lit("_"), F.lit(" "))))))
-    kinds = _as_array(kind_words(listed.select("rid", "words")))
-    listed = cut(listed.join(F.broadcast(kinds)).select("rid", "kinds", F.filter("words", lambda w: ~F.array_contains("kinds", w)).alias("core"), F.filter("words", lambda w: F.array_contains("kinds", w)).alias("r_kind")))
+    kinds = kind_words(listed)
+    listed = listed.select("rid", F.filter("words", lambda w: ~w.isin(kinds)).alias("core"), F.filter("words", lambda w: w.isin(kinds)).alias("r_kind"))
     # every word of the value may be the club's name, the others kind words, sponsors and suffixes
-    typed = spelled.join(F.broadcast(kinds)).select("lid", "kinds", "l_words", F.explode(F.filter("l_words", lambda w: ~F.array_contains("kinds", w) & (F.length(w) > 3))).alias("word")).distinct()
+    typed = spelled.select("lid", "l_words", F.explode(F.filter("l_words", lambda w: ~w.isin(kinds) & (F.length(w) > 3))).alias("word")).distinct()
     typed = cut(typed.withColumn("wid", F.xxhash64("word")))
     words = cut(listed.select("rid", "r_kind", F.explode("core").alias("core"), F.size("core").alias("cores")).withColumn("cid", F.xxhash64("core")))
     pairs = similarity_join(
@@ -199,7 +212,7 @@ def map_clubs(values: DataFrame, clubs: DataFrame) -> DataFrame:
     scored = pairs.join(typed, "wid").join(words, "cid")
     edits = F.levenshtein("word", "core") / F.length("core")
     near = scored.withColumn("edits", edits).where((F.col("jaccard") >= NAME_ALONE) | (F.col("edits") <= 0.4))
-    near = near.withColumn("kind", kind_fit(F.filter("l_words", lambda w: (w != F.col("word")) & ~w.rlike(r"^\d+$")), "kinds", "r_kind"))
+    near = near.withColumn("kind", kind_fit(kinds)(F.filter("l_words", lambda w: (w != F.col("word")) & ~w.rlike(r"^\d+$")), "r_kind"))
     near = near.where((F.col("kind") > 0) | (F.col("kind") == 0) & ((F.col("jaccard") >= NAME_ALONE) | (F.col("edits") <= 0.3)))
     scored = near.groupBy("lid", "rid").agg(F.max(F.col("jaccard") + 0.5 * F.col("kind") - F.col("edits")).alias("score"))
     best = scored.groupBy("lid").agg(F.max(F.struct("score", "rid")).alias("b"), F.sort_array(F.collect_list("score"), asc=False).alias("all"))
