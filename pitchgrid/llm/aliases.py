@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.names import Matcher, deletes, distance, tokens
+from pitchgrid.llm.names import Matcher, deletes, distance, matcher_for, tokens
 from pitchgrid.runtime import cut
 
 NAME_FIELDS = ["observed_name", "normalized_alias", "known_as", "full_name"]
@@ -141,7 +141,7 @@ def alias_clusters(aliases: DataFrame) -> DataFrame:
     nick = nicknames(rows, given)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        matcher = Matcher(given, nick)
+        matcher = matcher_for(given, nick)
         names = []
         for r in frame[[*NAME_FIELDS, "id_player"]].itertuples(index=False):
             own = {tokens(x) for x in r[:4] if isinstance(x, str)}

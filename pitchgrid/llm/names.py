@@ -149,3 +149,9 @@ class Matcher:
         if len(anchors) >= 2 or any(sims[i][j] > 0.6 for i, j in others):
             return 3
         return 2 if others else 1
+
+
+@lru_cache(maxsize=8)
+def matcher_for(given: frozenset[str], nicknames: frozenset[tuple[str, str]]) -> Matcher:
+    """One matcher per word lists and worker, so that what it learned serves every block."""
+    return Matcher(given, nicknames)
