@@ -84,7 +84,7 @@ def pack(tokens: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS,
     return number
 
 
-def _round(pieces: DataFrame, capacity: int, max_docs: int, step: str) -> DataFrame:
+def _round(pieces: DataFrame, shards: int, capacity: int, max_docs: int, step: str) -> DataFrame:
     """Pack the pieces shard by shard: adds ``container`` (text, unique over shards) and its fill."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +96,8 @@ def _round(pieces: DataFrame, capacity: int, max_docs: int, step: str) -> DataFr
             "container": [f"{step}-{s}-{n}" for s, n in zip(frame["shard"], number)], "fill": fill,
         })
 
-    return pieces.groupBy("shard").applyInPandas(run, "doc_id long, piece int, tokens int, container string, fill double")
+    # packing costs far more than a shard's bytes suggest, so no two shards are coalesced into one task
+    return pieces.repartition(shards, "shard").groupBy("shard").applyInPandas(run, "doc_id long, piece int, tokens int, container string, fill double")
 
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, shard: int = SHARD, **tokenizer: str) -> DataFrame:
@@ -119,11 +120,11 @@ def packed_documents(docs: DataFrame, capacity: int = CAPACITY, max_docs: int =
     pieces = cut(sized.select("doc_id", F.inline(pieces)))
     number = pieces.count()
     shards = max(1, -(-number // shard))
-    first = cut(_round(pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))), capacity, max_docs, "a"))
+    first = cut(_round(pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))), shards, capacity, max_docs, "a"))
     loose = first.where(F.col("fill") < REFILL)
     again = loose.count()
     shards = max(1, -(-again // shard))
-    second = _round(loose.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(shards))), capacity, max_docs, "b")
+    second = _round(loose.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(shards))), shards, capacity, max_docs, "b")
     return first.where(F.col("fill") >= REFILL).unionByName(second).select("doc_id", "piece", "tokens", "container")
 
 
