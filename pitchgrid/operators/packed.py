@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchgrid.runtime import cut
+
 #: Signs that may divide a field, with the weight they get before any row was seen.
 SIGN_PRIOR = {"|": 0.9, ";": 0.9, "\n": 0.9, "\t": 0.9, "/": 0.6, ",": 0.6}
 #: Rows the prior counts for when it is mixed with the observed regularity.
@@ -15,8 +17,11 @@ PRIOR_ROWS = 20.0
 ACCEPT = 0.25
 #: The sign that only divides where no other one does.
 WEAK_SIGN = ","
+#: White space, which divides only where neither another sign nor the weak one does; a count in brackets stays with its value.
+BLANK = " "
+_BLANKS = r"[ \u00a0]+(?!\()"
 #: Private-use characters that stand for signs inside quotes while a field is split.
-_MASK = {sign: chr(0xE000 + i) for i, sign in enumerate(SIGN_PRIOR)}
+_MASK = {sign: chr(0xE000 + i) for i, sign in enumerate([*SIGN_PRIOR, BLANK])}
 _SIGNS = "".join(_MASK)
 _MASKS = "".join(_MASK.values())
 
@@ -69,8 +74,16 @@ def _cleaned(piece: Column) -> Column:
 def _pieces(masked: Column, signs: Column) -> Column:
     """Split at every sign of the text ``signs``; with none the field is one piece."""
     one = F.when(F.length(signs) > 0, _translate(masked, signs, F.rpad(F.lit(""), F.lit(6), F.lit("\x01"))))
-    folded = _translate(masked, _SIGNS, _SIGNS)
-    return F.when(one.isNotNull(), F.split(one, "\x01", -1)).otherwise(F.array(folded))
+    return F.when(one.isNotNull(), F.split(one, "\x01", -1)).otherwise(F.array(masked))
+
+
+def _blank_pieces(masked: Column) -> Column:
+    """Split at white space outside quotes, but not before a count in brackets."""
+    return F.split(_strip(masked), _BLANKS, -1)
+
+
+def _values(pieces: Column) -> Column:
+    return F.filter(F.transform(pieces, _cleaned), lambda v: v.isNotNull())
 
 
 def _shape(piece: Column) -> Column:
@@ -94,8 +107,52 @@ def long_fields(df: DataFrame, packed: list[Packed]) -> DataFrame:
     return df.select(F.inline(F.array(*rows))).where(F.col("text").isNotNull() & (F.trim("text") != ""))
 
 
+def _chosen(fields: DataFrame, signs: DataFrame) -> DataFrame:
+    """``fields`` with the masked text, the accepted signs of its source and those among them that divide it."""
+    per_source = signs.where("accepted").groupBy("field", "source").agg(F.array_join(F.array_sort(F.collect_list("sign")), "").alias("signs"))
+    # at most one row per (field, source): a few kB, whatever the number of rows
+    rows = fields.join(F.broadcast(per_source), ["field", "source"], "left").withColumn("masked", _masked(_unwrapped(F.col("text"))))
+    strong = _translate(F.coalesce(F.col("signs"), F.lit("")), WEAK_SIGN + BLANK, F.lit(""))
+    present = _translate("masked", strong, F.lit("")) != F.col("masked")
+    weak = F.contains(F.coalesce("signs", F.lit("")), F.lit(WEAK_SIGN)) & F.contains(F.col("masked"), F.lit(WEAK_SIGN))
+    return rows.withColumn("chosen", F.when(present, strong).when(weak, F.lit(WEAK_SIGN)).otherwise(F.lit("")))
+
+
+def blank_signs(fields: DataFrame, signs: DataFrame) -> DataFrame:
+    """Score white space for each (field, source) from the fields that none of ``signs`` divides.
+
+    A piece between blanks counts as regular as far as it also occurs undivided in the same field and
+    source: undivided over divided occurrences, 1 at most. A row is as regular as its least regular
+    piece, since a name has a part that seldom stands alone. No row where no piece does.
+    """
+    rows = _chosen(fields, signs).select("field", "source", "masked", "chosen")
+    bare = lambda v: F.regexp_replace(v, r"\s*\(\d+\)$", "")
+    blank = _values(_blank_pieces(F.col("masked")))
+    texts = rows.where("chosen = ''").withColumn("pieces", blank).where(F.size("pieces") > 1).groupBy("field", "source", F.transform("pieces", bare).alias("pieces")).agg(F.count("*").alias("rows"))
+    alone = (
+        rows.select("field", "source", F.explode(_values(_pieces(F.col("masked"), F.col("chosen")))).alias("value"))
+        .select("field", "source", bare(F.col("value")).alias("piece"))
+        .where(~F.col("piece").rlike(r"[ \u00a0]"))
+        .groupBy("field", "source", "piece")
+        .agg(F.count("*").alias("alone"))
+    )
+    parts = texts.select("field", "source", "pieces", "rows", F.explode("pieces").alias("piece"))
+    divided = parts.groupBy("field", "source", "piece").agg(F.sum("rows").alias("divided"))
+    known = divided.join(alone, ["field", "source", "piece"]).select("field", "source", "piece", F.least(F.lit(1.0), F.col("alone") / F.col("divided")).alias("share"))
+    per_text = parts.join(known, ["field", "source", "piece"], "left").groupBy("field", "source", "pieces").agg(F.max("rows").alias("rows"), F.min(F.coalesce("share", F.lit(0.0))).alias("share"))
+    scored = per_text.groupBy("field", "source").agg(F.sum("rows").alias("rows"), (F.sum(F.col("rows") * F.col("share")) / F.sum("rows")).alias("regularity")).where("regularity > 0")
+    score = F.col("rows") * F.col("regularity") / (F.col("rows") + F.lit(PRIOR_ROWS))
+    return scored.select("field", "source", F.lit(BLANK).alias("sign"), "rows", F.lit(1.0).alias("consistency"), "regularity", score.alias("score"), (score >= ACCEPT).alias("accepted"))
+
+
 def infer_signs(fields: DataFrame) -> DataFrame:
-    """Score each sign for each (field, source): one row per sign seen.
+    """Score each sign for each (field, source): one row per sign seen, :func:`blank_signs` among them."""
+    signs = cut(_other_signs(fields))
+    return signs.unionByName(blank_signs(fields, signs))
+
+
+def _other_signs(fields: DataFrame) -> DataFrame:
+    """Score each sign of :data:`SIGN_PRIOR` for each (field, source): one row per sign seen.
 
     For the rows that hold a sign outside quotes, every piece's type is looked up among the types of
     the undivided rows of the same field (type regularity); the share of rows whose pieces are all
@@ -136,20 +193,14 @@ def split_fields(fields: DataFrame, signs: DataFrame | None = None) -> DataFrame
 
     ``fields`` has field, source, row_id, text; ``signs`` is what :func:`infer_signs` says of them.
     Every accepted sign that a field holds outside quotes divides it; a comma only where no other one
-    does. NULL, blank and ``nan`` pieces are no values; pos counts from 1 over real values; repeated
+    does, a blank only where not even a comma does. NULL, blank and ``nan`` pieces are no values; pos counts from 1 over real values; repeated
     rows come out once; repeated values keep their own places. No rows in, no rows out.
     """
-    signs = infer_signs(fields) if signs is None else signs
-    per_source = signs.where("accepted").groupBy("field", "source").agg(F.array_join(F.array_sort(F.collect_list("sign")), "").alias("signs"))
-    # at most one row per (field, source): a few kB, whatever the number of rows
-    rows = fields.join(F.broadcast(per_source), ["field", "source"], "left").withColumn("masked", _masked(_unwrapped(F.col("text"))))
-    strong = F.replace(F.coalesce(F.col("signs"), F.lit("")), F.lit(WEAK_SIGN), F.lit(""))
-    present = _translate("masked", strong, F.lit("")) != F.col("masked")
-    chosen = F.when(present, strong).when(F.contains(F.coalesce("signs", F.lit("")), F.lit(WEAK_SIGN)), F.lit(WEAK_SIGN)).otherwise(F.lit(""))
-    values = F.filter(F.transform(_pieces(F.col("masked"), F.col("chosen")), _cleaned), lambda v: v.isNotNull())
+    rows = _chosen(fields, infer_signs(fields) if signs is None else signs)
+    blank = (F.col("chosen") == "") & F.contains(F.coalesce("signs", F.lit("")), F.lit(BLANK))
+    values = _values(F.when(blank, _blank_pieces(F.col("masked"))).otherwise(_pieces(F.col("masked"), F.col("chosen"))))
     return (
-        rows.withColumn("chosen", chosen)
-        .select("field", "row_id", F.posexplode(values).alias("at", "value"))
+        rows.select("field", "row_id", F.posexplode(values).alias("at", "value"))
         .select("field", "row_id", (F.col("at") + 1).cast("long").alias("pos"), "value")
         .distinct()
     )

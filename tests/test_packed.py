@@ -35,3 +35,17 @@ def test_signs_per_source(spark):
     df = spark.createDataFrame([(i, "s", "a b|c d") for i in range(30)] + [(99, "s", "a b")], "id long, source string, v string")
     signs = {r.sign: r.accepted for r in infer_signs(long_fields(df, P)).collect()}
     assert signs == {"|": True}
+
+
+def test_blanks_divide_codes_only(spark):
+    """Codes that also stand alone are divided at blanks, words of a name or of a position are not."""
+    codes = ["D", "M", "S", "D (22)", "M | S", "D", "M"] * 12 + ["D M S", "M  S", "D (2) M (11)", "M S"] * 6
+    words = ["Center Back", "Left Back", "Left Midfielder", "Midfielder", "Marco Chaga", "Chaga", "Marco Duflo"] * 12
+    rows = [(i, "u", v) for i, v in enumerate(codes)] + [(1000 + i, "e", v) for i, v in enumerate(words)]
+    df = spark.createDataFrame(rows, "id long, source string, v string")
+    got = {}
+    for r in split_packed(df, P).orderBy("row_id", "pos").collect():
+        got.setdefault(r.row_id, []).append((r.pos, r.value))
+    assert [[v for _, v in got[84 + i]] for i in range(4)] == [["D", "M", "S"], ["M", "S"], ["D (2)", "M (11)"], ["M", "S"]]
+    assert [p for p, _ in got[84]] == [1, 2, 3] and got[3] == [(1, "D (22)")]
+    assert all(got[1000 + i] == [(1, v)] for i, v in enumerate(words))
