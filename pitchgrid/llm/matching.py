@@ -17,6 +17,8 @@ from pitchgrid.runtime import cut
 
 #: Records a record is compared with in each sort order, and records of a sort order one task compares.
 WINDOW, BLOCK = 12, 4_000
+#: Records of a long run of equal keys that are compared with as many others in one task, and records one call takes.
+CHUNK, CALL = 400, 4_000
 #: Tasks of one comparison at most; beyond, a task compares several blocks after each other.
 MOST_TASKS = 20_000
 #: Weights of name, club and positions in a pair's confidence, the confidence that is kept, and the one
@@ -105,6 +107,31 @@ def sorted_neighbours(records: DataFrame, key: str, order: str, width: int, bloc
     return spread.groupBy("_block").applyInPandas(run, schema)
 
 
+def same_key_pairs(records: DataFrame, key: str, order: str, least: int, chunk: int, compare: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str) -> DataFrame:
+    """``compare`` all records of every run of more than ``least`` equal keys with each other; a NULL key is no run.
+
+    A run is cut into chunks by hash of ``order`` and each two chunks meet in one task, so that a long
+    run spreads over many tasks; ``compare`` gets two chunks, or one and None for the pairs within it.
+    """
+    runs = cut(records.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).withColumn("_chunks", F.ceil(F.col("_n") / chunk)))
+    total = runs.agg(F.sum(F.col("_n") * F.col("_chunks"))).first()[0] or 0
+    calls = max(1, min(-(-total // CALL), MOST_TASKS))
+    mine = F.pmod(F.xxhash64(order), F.col("_chunks"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1), lambda d: F.struct(F.least(F.col("_own"), d).alias("_low"), F.greatest(F.col("_own"), d).alias("_high")))
+    spread = records.join(runs, key).withColumn("_own", mine).select(*records.columns, "_own", F.inline(meets))
+    spread = spread.withColumn("_call", F.pmod(F.xxhash64(key, "_low", "_high"), F.lit(calls)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, low, high), part in frame.groupby([key, "_low", "_high"], sort=True):
+            part = part.sort_values(order, kind="stable")
+            own = part["_own"] == low
+            out.append(compare(part, None) if low == high else compare(part[own], part[~own]))
+        return pd.concat(out)
+
+    return spread.repartition(calls, "_call").groupBy("_call").applyInPandas(run, schema)
+
+
 def _family_nicknames(records: DataFrame, given: frozenset[str]) -> frozenset[tuple[str, str]]:
     """Given names that stand beside the same family name in one squad, over and over."""
 
@@ -166,7 +193,8 @@ def match_observations(observations: DataFrame, width: int = WINDOW, block: int
     """(obs_id_a, obs_id_b, confidence) of records of two sources that describe one player.
 
     Records of one competition and season are sorted by family name, by given name, by the family name's
-    consonants and by club; in each order a record is compared with the ``width`` - 1 next ones. A pair's
+    consonants and by club; in each order a record is compared with the ``width`` - 1 next ones, and with
+    all that share its family name, its consonants and initial, or its known club, however many. A pair's
     confidence weighs the names (:meth:`Matcher.level`), clubs and lines of the team; NULL clubs and
     positions count half; a pair below :data:`KEEP` stays only if neither record has another. Of the pairs kept, those are taken that give the greatest total with each
     record at most once per pair of sources; two records of one third that are both free are paired too. NULL or empty names match nothing; exact copies are one
@@ -192,12 +220,26 @@ def match_observations(observations: DataFrame, width: int = WINDOW, block: int
                 first = next((t for t in own if t != main), "")
                 club = max(club_words(r.id_team), key=len, default="~")
                 bones = re.sub(r"[aeiouyhw]|(.)(?=\1)", "", main)
+                # records of equal keys of the other two kinds share the family name's run
+                runs = {0: main, 2: f"{bones}|{first[:1]}", 3: club if club != "~" else None}
                 for kind, key in ((0, f"{main}|{first}"), (1, f"{main[::-1]}|{first}"), (2, f"{bones}|{first[:1]}"), (3, f"{club}|{main}"), (4, f"{club}|{first[:3]}|{main}")):
-                    out.append((r.obs_id, r.source, r.observed_name, r.id_team, r.positions, scope, f"{kind}|{scope}{key}"))
-            yield pd.DataFrame(out, columns=["obs_id", "source", "observed_name", "id_team", "positions", "scope", "key"])
+                    run = runs.get(kind)
+                    out.append((r.obs_id, r.source, r.observed_name, r.id_team, r.positions, scope, f"{kind}|{scope}{key}", None if run is None else f"{kind}|{scope}{run}"))
+            yield pd.DataFrame(out, columns=["obs_id", "source", "observed_name", "id_team", "positions", "scope", "key", "run"])
+
+    schema = "obs_id long, source string, observed_name string, id_team string, positions string, scope string, key string, run string"
+    entries = cut(records.drop("block").mapInPandas(keyed, schema))
+
+    def scored(x: tuple, y: tuple, level: int) -> tuple[int, int, str, float] | None:
+        left, right = roles(x.positions), roles(y.positions)
+        role = 0.5 if not left or not right else 1.0 if left & right else 0.0
+        confidence = NAME * LEVELS[level] + CLUB * club_similarity(x.id_team, y.id_team) + ROLE * role
+        if confidence < KEEP_ALONE:
+            return None
+        a, b = (x, y) if x.source < y.source else (y, x)
+        return a.obs_id, b.obs_id, f"{a.source}|{b.source}", confidence
 
-    schema = "obs_id long, source string, observed_name string, id_team string, positions string, scope string, key string"
-    entries = records.drop("block").mapInPandas(keyed, schema)
+    ends = ["a", "b", "sources", "confidence"]
 
     def compare(frame: pd.DataFrame, own: int) -> pd.DataFrame:
         matcher = matcher_for(given, nick)
@@ -210,18 +252,37 @@ def match_observations(observations: DataFrame, width: int = WINDOW, block: int
                 if x.source == y.source or x.scope != y.scope or x.key[0] != y.key[0]:
                     continue
                 level = matcher.level(names, tokens(y.observed_name))
-                if level <= 0:
+                if level > 0 and (pair := scored(x, y, level)):
+                    found.append(pair)
+        return pd.DataFrame(found, columns=ends).drop_duplicates()
+
+    def by_name(frame: pd.DataFrame) -> list[tuple[tuple[str, ...], list[tuple]]]:
+        held: dict[tuple[str, ...], list[tuple]] = {}
+        for r in frame[["obs_id", "source", "observed_name", "id_team", "positions"]].itertuples(index=False):
+            held.setdefault(tokens(r.observed_name), []).append(r)
+        return list(held.items())
+
+    def compare_all(left: pd.DataFrame, right: pd.DataFrame | None) -> pd.DataFrame:
+        """Names are compared once for all records that write them so."""
+        matcher = matcher_for(given, nick)
+        one = by_name(left)
+        other = one if right is None else by_name(right)
+        found = []
+        for i, (name, xs) in enumerate(one):
+            for j, (also, ys) in enumerate(other):
+                if right is None and j < i:
                     continue
-                left, right = roles(x.positions), roles(y.positions)
-                role = 0.5 if not left or not right else 1.0 if left & right else 0.0
-                confidence = NAME * LEVELS[level] + CLUB * club_similarity(x.id_team, y.id_team) + ROLE * role
-                if confidence >= KEEP_ALONE:
-                    a, b = (x, y) if x.source < y.source else (y, x)
-                    found.append((a.obs_id, b.obs_id, f"{a.source}|{b.source}", confidence))
-        return pd.DataFrame(found, columns=["a", "b", "sources", "confidence"]).drop_duplicates()
-
-    pairs = sorted_neighbours(entries, "key", "obs_id", width, block, compare, "a long, b long, sources string, confidence double")
-    pairs = cut(pairs.distinct())
+                level = matcher.level(name, also)
+                if level > 0:
+                    same = right is None and i == j
+                    met = ((x, y) for at, x in enumerate(xs) for y in (xs[at + 1 :] if same else ys) if x.source != y.source)
+                    found += [pair for x, y in met if (pair := scored(x, y, level))]
+        return pd.DataFrame(found, columns=ends)
+
+    kind = "a long, b long, sources string, confidence double"
+    near = sorted_neighbours(entries.drop("run"), "key", "obs_id", width, block, compare, kind)
+    runs = same_key_pairs(entries.drop("key"), "run", "obs_id", width, CHUNK, compare_all, kind)
+    pairs = cut(near.unionByName(runs).groupBy("a", "b", "sources").agg(F.max("confidence").alias("confidence")))
     alone = pairs.groupBy("a", "sources").agg(F.count("*").alias("n_a")), pairs.groupBy("b", "sources").agg(F.count("*").alias("n_b"))
     pairs = pairs.join(alone[0], ["a", "sources"]).join(alone[1], ["b", "sources"]).where((F.col("confidence") >= KEEP) | ((F.col("n_a") == 1) & (F.col("n_b") == 1))).select("a", "b", "sources", "confidence")
     # a record takes part once for each pair of sources

@@ -1,4 +1,4 @@
-from pitchgrid.llm.matching import club_similarity, match_observations, roles, season_start, sorted_neighbours
+from pitchgrid.llm.matching import club_similarity, match_observations, roles, same_key_pairs, season_start, sorted_neighbours
 
 COLS = "obs_id long, source string, observed_name string, id_competition string, id_season string, id_team string, positions string, key string"
 
@@ -33,3 +33,26 @@ def test_matches(spark):
     got = {(r.obs_id_a, r.obs_id_b) for r in match_observations(df).collect()}
     assert (1, 2) in got and not any({4, 5} & set(p) or 6 in p or 9 in p for p in got)
     assert match_observations(df.limit(0)).count() == 0
+
+
+def test_long_runs_against_brute_force(spark):
+    """Every two records of a run beyond the window meet, each pair once; shorter runs and NULL keys are left out."""
+    import pandas as pd
+
+    rows = [(i, "hot") for i in range(60)] + [(100 + i, "warm") for i in range(13)] + [(200 + i, "cold") for i in range(12)] + [(300 + i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "obs_id long, key string")
+
+    def compare(left, right):
+        ids = list(left.obs_id)
+        return pd.DataFrame([(a, b) for i, a in enumerate(ids) for b in (ids[i + 1 :] if right is None else right.obs_id)], columns=["a", "b"])
+
+    got = sorted((min(r), max(r)) for r in same_key_pairs(df, "key", "obs_id", 12, 7, compare, "a long, b long").collect())
+    assert got == sorted([(i, j) for i in range(60) for j in range(i + 1, 60)] + [(100 + i, 100 + j) for i in range(13) for j in range(i + 1, 13)])
+
+
+def test_a_frequent_name_at_clubs_of_one_word(spark):
+    """All five keys fall in runs far longer than the window, one source's records before the other's."""
+    clubs = [f"Olympique_{a}{e}{b}" for a, e, b in zip("bcdfghjklmnprstvwxzbcdfghjklmn", "aeiouaeiouaeiouaeiouoiuaeoiuae", "zzxxwwvvttssrrppnnmmllkkjjhhgg")]
+    rows = [(100 * k + i, source, "Marco Mirtarro", "C", "2023-2024", club, None, "k") for k, source in enumerate(("espn", "understat")) for i, club in enumerate(clubs)]
+    got = {(r.obs_id_a, r.obs_id_b) for r in match_observations(spark.createDataFrame(rows, COLS)).collect()}
+    assert got == {(i, 100 + i) for i in range(len(clubs))}
