@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid.llm.aliases import given_names
 from pitchgrid.llm.groups import connected_components
-from pitchgrid.llm.names import Matcher, assignment, fold, matcher_for, token_similarity, tokens
+from pitchgrid.llm.names import Matcher, fold, matcher_for, sparse_assignment, token_similarity, tokens
 from pitchgrid.runtime import cut
 
 #: Records a record is compared with in each sort order, and records of a sort order one task compares.
@@ -28,8 +28,6 @@ NAME, CLUB, ROLE, KEEP, KEEP_ALONE = 0.70, 0.22, 0.08, 0.66, 0.50
 LEVELS = {3: 1.0, 2: 0.8, 1: 0.6}
 #: Family names beside which two given names must meet in one squad to be nicknames of each other.
 NICKNAME_SUPPORT = 3
-#: Exact assignment is solved for components with so many records on the smaller side, greedily beyond.
-EXACT = 10
 #: Pairs whose components one task assigns.
 SHARE = 20_000
 
@@ -162,23 +160,13 @@ def _assigned(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float
     """The pairs of one component that give the greatest total confidence, each record once."""
     if len(pairs) == 1:
         return pairs
-    rows = {v: i for i, v in enumerate(sorted({a for a, _, _ in pairs}))}
-    columns = {v: i for i, v in enumerate(sorted({b for _, b, _ in pairs}))}
-    flip = len(rows) > len(columns)
-    if min(len(rows), len(columns)) <= EXACT and max(len(rows), len(columns)) <= 2 * EXACT:
-        weights = [[0.0] * max(len(rows), len(columns)) for _ in range(min(len(rows), len(columns)))]
-        for a, b, w in pairs:
-            i, j = (columns[b], rows[a]) if flip else (rows[a], columns[b])
-            weights[i][j] = max(weights[i][j], w)
-        chosen = {(j, i) if flip else (i, j) for i, j in assignment(weights)}
-        return [(a, b, w) for a, b, w in pairs if (rows[a], columns[b]) in chosen]
-    used_a, used_b, kept = set(), set(), []
-    for a, b, w in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if a not in used_a and b not in used_b:
-            used_a.add(a)
-            used_b.add(b)
-            kept.append((a, b, w))
-    return kept
+    weights: dict[int, dict[int, int]] = {}
+    kept = {}
+    for a, b, w in sorted(pairs):
+        # whole numbers, so that equal confidences stay equal in sums
+        weights.setdefault(a, {})[b] = round(w * 1e9)
+        kept[a, b] = w
+    return [(a, b, kept[a, b]) for a, b in sparse_assignment(weights)]
 
 
 def _assigned_groups(frame: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from functools import lru_cache
@@ -101,6 +102,62 @@ def assignment(weights: list[list[float]]) -> list[tuple[int, int]]:
     return list(max(best.values(), key=lambda x: x[0])[1])
 
 
+def sparse_assignment(weights: dict[int, dict[int, float]]) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a sparse matrix of any size, each used once, with the greatest total; absent and non-positive weights pair nothing.
+
+    Rows enter one by one along the shortest path of reduced costs to a free column, or to a row that
+    is better left alone (the Hungarian method): at most rows x entries x log(entries) steps.
+    """
+    of_row: dict[int, int] = {}
+    of_column: dict[int, int] = {}
+    u: dict[int, float] = {}
+    v: dict[int, float] = {}
+    for start in weights:
+        u[start] = min([0.0, *(-w - v.get(j, 0.0) for j, w in weights[start].items() if w > 0)])
+        best: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, bool, int]] = []  # of equally near columns a free one comes first
+        row, base = start, 0.0
+        alone, alone_row = -u[start], start
+        while True:
+            for j, w in weights[row].items():
+                if w > 0 and j not in done:
+                    d = base - w - v.get(j, 0.0) - u[row]
+                    if d < best.get(j, float("inf")) and d < alone:
+                        best[j], came[j] = d, row
+                        heapq.heappush(heap, (d, j in of_column, j))
+            while heap and (heap[0][2] in done or heap[0][0] > best[heap[0][2]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= alone:
+                length, end = alone, None
+                break
+            length, _, end = heapq.heappop(heap)
+            if end not in of_column:
+                break
+            done[end] = length
+            row, base = of_column[end], length
+            if base - u[row] < alone:
+                alone, alone_row = base - u[row], row
+        for j, d in done.items():
+            v[j] = v.get(j, 0.0) + d - length
+            u[of_column[j]] += length - d
+        u[start] += length
+        # along the path every row takes the column it was reached from; its end is a free column or a row left alone
+        if end is None:
+            if alone_row == start:
+                continue
+            end = of_row.pop(alone_row)
+        while True:
+            row = came[end]
+            before = of_row.get(row)
+            of_row[row], of_column[end] = end, row
+            if row == start:
+                break
+            end = before
+    return list(of_row.items())
+
+
 class Matcher:
     """Compares names token by token, knowing the given names and nicknames that a corpus uses."""
 

@@ -1,4 +1,4 @@
-from pitchgrid.llm.matching import club_similarity, match_observations, roles, same_key_pairs, season_start, sorted_neighbours
+from pitchgrid.llm.matching import _assigned, club_similarity, match_observations, roles, same_key_pairs, season_start, sorted_neighbours
 
 COLS = "obs_id long, source string, observed_name string, id_competition string, id_season string, id_team string, positions string, key string"
 
@@ -56,3 +56,10 @@ def test_a_frequent_name_at_clubs_of_one_word(spark):
     rows = [(100 * k + i, source, "Marco Mirtarro", "C", "2023-2024", club, None, "k") for k, source in enumerate(("espn", "understat")) for i, club in enumerate(clubs)]
     got = {(r.obs_id_a, r.obs_id_b) for r in match_observations(spark.createDataFrame(rows, COLS)).collect()}
     assert got == {(i, 100 + i) for i in range(len(clubs))}
+
+
+def test_large_components_get_the_greatest_total():
+    """A chain of 40 records a side in which the best single pairs are not the best whole."""
+    pairs = [(i, 100 + i, 0.6) for i in range(40)] + [(i, 101 + i, 0.7) for i in range(0, 39, 2)]
+    got = _assigned(pairs)
+    assert len(got) == len({a for a, _, _ in got}) == len({b for _, b, _ in got}) == 40 and abs(sum(w for _, _, w in got) - 24.0) < 1e-9

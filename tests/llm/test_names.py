@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pitchgrid.llm.aliases import alias_clusters, alias_pairs, players_of
-from pitchgrid.llm.names import Matcher, assignment, deletes, distance, token_similarity, tokens
+from pitchgrid.llm.names import Matcher, assignment, deletes, distance, sparse_assignment, token_similarity, tokens
 
 
 @settings(max_examples=150, deadline=None)
@@ -61,3 +61,11 @@ def test_pairs(spark):
     got = {tuple(r) for r in alias_pairs(alias_clusters(df)).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
     assert alias_pairs(alias_clusters(df.limit(0))).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 6).flatmap(lambda n: st.lists(st.lists(st.sampled_from([0.0, 0.3, 0.5, 0.6, 0.9]), min_size=n, max_size=n), min_size=1, max_size=6)))
+def test_sparse_assignment_against_the_small_one(w):
+    got = sparse_assignment({i: {j: x for j, x in enumerate(row) if x} for i, row in enumerate(w)})
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+    assert abs(sum(w[i][j] for i, j in got) - sum(w[i][j] for i, j in assignment(w))) < 1e-9
