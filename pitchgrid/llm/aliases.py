@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.names import Matcher, deletes, distance, matcher_for, tokens
+from pitchgrid.llm.names import Matcher, deletes, distance, matcher_for, neighbour_keys, token_similarity, tokens
 from pitchgrid.runtime import cut
 
 NAME_FIELDS = ["observed_name", "normalized_alias", "known_as", "full_name"]
@@ -63,18 +63,21 @@ def nicknames(rows: DataFrame, given: frozenset[str]) -> frozenset[tuple[str, st
 
 
 def candidates(names: list[list[tuple[str, ...]]], matcher: Matcher) -> Iterator[tuple[int, int]]:
-    """Pairs of entries that share a token of a family name, or one a letter away, through an index of deletes."""
-    index: dict[str, list[int]] = defaultdict(list)
+    """Pairs of entries with a token of a family name alike (:func:`token_similarity`), through an index of deletes and beginnings."""
+    index: dict[str, list[str]] = defaultdict(list)
+    holders: dict[str, list[int]] = defaultdict(list)
     for i, own in enumerate(names):
         words = {t for n in own for t in n if len(t) > 2}
-        rare = {t for t in words if not matcher.is_given(t)} or words
-        for key in {d for t in rare for d in deletes(t)}:
-            index[key].append(i)
+        for t in {t for t in words if not matcher.is_given(t)} or words:
+            holders[t].append(i)
+    for t in holders:
+        for key in neighbour_keys(t):
+            index[key].append(t)
+    near = {(a, b) if a < b else (b, a) for held in index.values() for x, a in enumerate(held) for b in held[x:]}
     seen: set[tuple[int, int]] = set()
-    for held in index.values():
-        for x, i in enumerate(held):
-            for j in held[x + 1 :]:
-                seen.add((i, j))
+    for a, b in near:
+        if a == b or token_similarity(a, b) > 0 or deletes(a) & deletes(b):
+            seen |= {(min(i, j), max(i, j)) for i in holders[a] for j in holders[b] if i != j}
     yield from seen
 
 

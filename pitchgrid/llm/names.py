@@ -43,6 +43,21 @@ def deletes(token: str) -> set[str]:
     return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))} if len(token) > 3 else {token}
 
 
+def neighbour_keys(token: str) -> frozenset[str]:
+    """What is left of a token without any letters up to the edits :func:`token_similarity` accepts for it, and its beginnings.
+
+    Two tokens that it finds alike by edits share a rest, two of which one begins the other share a beginning
+    (marked, since a beginning and a rest are different keys).
+    """
+    # the other token may be the longer one, with more edits allowed, but never more than a third of the shorter
+    most = min(3, len(token) // 3)
+    rests = layer = {token}
+    for _ in range(most):
+        layer = {t[:i] + t[i + 1 :] for t in layer for i in range(len(t))}
+        rests = rests | layer
+    return frozenset(rests | {f"{token[:n]}*" for n in range(3, len(token) + 1)})
+
+
 @lru_cache(maxsize=500_000)
 def distance(a: str, b: str, most: int = 3) -> int:
     """Edits (insertion, deletion, replacement, swap of neighbours) between two tokens, ``most`` + 1 if more."""

@@ -3,8 +3,8 @@ from itertools import permutations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pitchgrid.llm.aliases import alias_clusters, alias_pairs, players_of
-from pitchgrid.llm.names import Matcher, assignment, deletes, distance, sparse_assignment, token_similarity, tokens
+from pitchgrid.llm.aliases import alias_clusters, alias_pairs, candidates, players_of
+from pitchgrid.llm.names import Matcher, assignment, deletes, distance, neighbour_keys, sparse_assignment, token_similarity, tokens
 
 
 @settings(max_examples=150, deadline=None)
@@ -69,3 +69,23 @@ def test_sparse_assignment_against_the_small_one(w):
     got = sparse_assignment({i: {j: x for j, x in enumerate(row) if x} for i, row in enumerate(w)})
     assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
     assert abs(sum(w[i][j] for i, j in got) - sum(w[i][j] for i, j in assignment(w))) < 1e-9
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=3, max_size=12), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 11), st.sampled_from("abc")), max_size=3))
+def test_alike_tokens_share_a_key(word, edits):
+    other = word
+    for kind, at, letter in edits:
+        at %= len(other) or 1
+        other = (other[:at] + other[at + 1 :], other[:at] + letter + other[at + 1 :], other[:at] + letter + other[at:])[kind]
+    # the last rule of token_similarity, 0.45 for three letters, is below what anchors a name
+    if len(other) > 2 and token_similarity(word, other) >= 0.64:
+        assert neighbour_keys(word) & neighbour_keys(other)
+
+
+def test_family_names_two_edits_apart_are_candidates():
+    m = Matcher(frozenset({"rhys", "sebastian", "rafael"}))
+    names = [[("rhys", "trocondao")], [("trocondsno", "rhys")], [("sebastian", "croonstrand")], [("sebastian", "rafael", "crontrand")], [("rhys", "kalinovicz")], [("kalin", "rhys")]]
+    assert {(0, 1), (2, 3), (4, 5)} <= set(candidates(names, m))
+    p = players_of(names, m)
+    assert p[0] == p[1] and p[2] == p[3] and p[4] == p[5] and len(set(p)) == 3
