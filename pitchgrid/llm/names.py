@@ -202,12 +202,13 @@ class Matcher:
         if a == b:
             return 3 if len(a) > 1 and not all(len(t) == 1 for t in a[:-1] + a[1:]) else 1
         if (a, b) not in self._memo:
-            self._memo[a, b] = self._level(a[:8], b[:8])
+            self._memo[a, b] = self._level(a, b)
         return self._memo[a, b]
 
     def _level(self, a: tuple[str, ...], b: tuple[str, ...]) -> int:
         sims = [[self.similarity(x, y) for y in b] for x in a]
-        pairs = assignment(sims)
+        few = max(len(a), len(b)) <= 8
+        pairs = assignment(sims) if few else sparse_assignment({i: dict(enumerate(row)) for i, row in enumerate(sims)})
         anchors = [(i, j) for i, j in pairs if sims[i][j] >= 0.64 and min(len(a[i]), len(b[j])) >= 3 and not (self.is_given(a[i]) and self.is_given(b[j]))]
         if not anchors:
             return 0

@@ -89,3 +89,9 @@ def test_family_names_two_edits_apart_are_candidates():
     assert {(0, 1), (2, 3), (4, 5)} <= set(candidates(names, m))
     p = players_of(names, m)
     assert p[0] == p[1] and p[2] == p[3] and p[4] == p[5] and len(set(p)) == 3
+
+
+def test_family_name_behind_the_eighth_word():
+    given = ("ana", "bea", "cleo", "dora", "elsa", "fara", "gina", "hana")
+    m = Matcher(frozenset(given))
+    assert m.level((*given, "mirtarro"), ("ana", "mirtaro")) == 3 and m.level((*given, "mirtarro"), ("ana", "kovacs")) <= 0
