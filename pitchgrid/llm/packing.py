@@ -46,7 +46,7 @@ def pack(tokens: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS,
 
     A container's residual vector is its free tokens, places and attention cost, each as a share of the
     whole. A piece goes to the container in which all three fit and the weighted residual norm left
-    over is least; tokens weigh most. A container that no remaining piece fits is closed.
+    over is least; tokens weigh most. At the default ``max_cost`` the cost cannot bind. A container that no remaining piece fits is closed.
     """
     max_cost = capacity * capacity if max_cost is None else max_cost
     weights = np.array([1.0, 0.05, 0.05])
