@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchgrid.operators.lookup import small
 from pitchgrid.runtime import cut
 
 #: A spike holds at least so many texts and so many times the mean of the lengths around it.
@@ -14,12 +15,13 @@ SPIKE_OPEN = 0.6
 #: A byte limit that falls inside a character leaves the text up to this much shorter.
 BYTE_SLACK = 3
 #: A last line is a sign-off if this share of all documents (and two texts at least) end with it.
-SIGN_OFF_SHARE, SIGN_OFF_LENGTH = 0.0005, 40
+SIGN_OFF_SHARE = 0.0005
 
-_TAIL = r"(?<![\s\p{Z}])(?:[\s\p{Z}]++|</?[A-Za-z][^<>]{0,200}+>|&[A-Za-z]{2,8};)++$"
-_TERMINAL = r"[.!?…。！？][\"'»”’)\]*_]{0,8}$"
+_TAIL = r"(?<![\s\p{Z}])(?:[\s\p{Z}]++|</?[A-Za-z][^<>]*+>|&[A-Za-z]{2,8};)++$"
+_TERMINAL = r"[.!?…。！？][\"'»”’)\]*_]*+$"
 _TICKER = r"^\d{1,3}(?:\+\d{1,2})?['’′]\s+\S+(?:\s+\S+){2,}$"
-_NOTE = r"^(?:\(.{1,40}\)|\[.{1,40}\]|(?:--|—|–)\s?\S.{0,60}|\p{Lu}[\p{L}-]+: \S.{0,60})$"
+#: A line in brackets, or one behind a dash or a label that holds no end of a sentence, whatever its length.
+_NOTE = r"^(?:\(.+\)|\[.+\]|(?:(?:--|—|–)\s?|\p{Lu}[\p{L}-]+: )\S(?:(?![.!?…]\s).)*+)$"
 
 
 def _signals(docs: DataFrame) -> DataFrame:
@@ -34,10 +36,13 @@ def _signals(docs: DataFrame) -> DataFrame:
             (body == "").alias("blank"),
             body.rlike(_TERMINAL).alias("terminal"),
             F.contains(body, F.lit("\n")).alias("lined"),
-            F.substring_index(body, "\n", -1).alias("tail"),
+            F.trim(F.substring_index(body, "\n", -1)).alias("line"),
+        )
+        .select(
+            "doc_id", "source", "digest", "chars", "bytes", "blank", "terminal", "lined",
+            F.xxhash64("line").alias("l1"), F.xxhash64(F.reverse("line"), F.lit(7)).alias("l2"),
+            F.col("line").rlike(_NOTE).alias("note"), F.col("line").rlike(_TICKER).alias("ticker"),
         )
-        .select("*", F.trim(F.when(F.length("tail") <= 120, F.col("tail"))).alias("line"))
-        .drop("tail")
     )
 
 
@@ -57,45 +62,47 @@ def length_spikes(signals: DataFrame) -> DataFrame:
 
 
 def truncation_signals(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, at_limit, terminal, finished_line, truncated) of every document with a text.
+    """(doc_id, source, at_limit, terminal, cause, truncated) of every document with a text.
 
-    ``at_limit``: the length in characters or bytes is a spike of its source. A text is truncated if
-    it ends without terminal punctuation and not with a finished line: a sign-off that many texts
-    share, a bracketed, dashed or labelled note, or, below the limit, a ticker line. Trailing white
-    space and markup do not count; blank and NULL texts are not truncated; NULL sources are one
-    source; repeated rows come out once; no rows give no rows. The text is read to its end whatever
-    its length. Broadcast are the spikes (one row a source and length) and the shared lines, of which
-    at most 1 / :data:`SIGN_OFF_SHARE` exist.
+    ``cause`` is ``limit`` for a text whose length in characters or bytes is a spike of its source
+    (:func:`length_spikes`) and that ends without terminal punctuation: whatever its last line looks like,
+    only a sign-off that many texts share finishes it. Off the spikes, where no common length tells, it is
+    ``transfer`` for a text that ends without terminal punctuation and not with a finished line: a
+    sign-off, a bracketed, dashed or labelled note, or a ticker line. Else it is NULL; ``truncated``
+    says whether there is one. Trailing white space and markup do not count; blank and NULL texts are
+    not truncated; NULL sources are one source; repeated rows come out once; no rows give no rows. The
+    text and its last line are read whole whatever their length. Spikes are broadcast after a count,
+    and so are the shared lines, of which at most 1 / :data:`SIGN_OFF_SHARE` exist.
     """
     signals = cut(_signals(docs))
-    spikes = length_spikes(signals)
+    spikes = cut(length_spikes(signals))
     chars = spikes.where("measure = 'chars'").select("source", F.col("at").alias("chars"), F.lit(True).alias("char_limit"))
     # a limit in bytes shows at the whole character before it as well
     widths = F.explode(F.sequence(F.col("at") - BYTE_SLACK, F.col("at")))
     bytes_ = spikes.where("measure = 'bytes'").select("source", widths.alias("bytes")).distinct().withColumn("byte_limit", F.lit(True))
-    total = signals.agg(F.count("*").alias("total"))
-    short = signals.where(F.col("lined") & ~F.col("terminal") & (F.length("line") <= SIGN_OFF_LENGTH))
-    shared = short.groupBy("line").agg(F.countDistinct("digest").alias("texts")).join(F.broadcast(total))
-    shared = shared.where((F.col("texts") >= 2) & (F.col("texts") >= SIGN_OFF_SHARE * F.col("total"))).select("line", F.lit(True).alias("sign_off"))
+    total = signals.count()
+    shared = signals.where(F.col("lined") & ~F.col("terminal")).groupBy("l1", "l2").agg(F.countDistinct("digest").alias("texts"))
+    shared = shared.where((F.col("texts") >= 2) & (F.col("texts") >= SIGN_OFF_SHARE * total)).select("l1", "l2", F.lit(True).alias("sign_off"))
     out = (
-        signals.join(F.broadcast(chars), ["source", "chars"], "left")
-        .join(F.broadcast(bytes_), ["source", "bytes"], "left")
-        .join(F.broadcast(shared), "line", "left")
+        signals.join(small(chars), ["source", "chars"], "left")
+        .join(small(bytes_), ["source", "bytes"], "left")
+        .join(small(cut(shared)), ["l1", "l2"], "left")
     )
     at_limit = F.coalesce("char_limit", F.lit(False)) | F.coalesce("byte_limit", F.lit(False))
-    line = F.coalesce("line", F.lit(""))
-    note = F.col("lined") & (F.coalesce("sign_off", F.lit(False)) | line.rlike(_NOTE))
-    finished = note | (line.rlike(_TICKER) & ~at_limit)
-    return out.select(
-        "doc_id", "source", at_limit.alias("at_limit"), "terminal", finished.alias("finished_line"),
-        (~F.col("terminal") & ~finished & ~F.col("blank")).alias("truncated"),
-    ).distinct()
+    sign_off = F.col("lined") & F.coalesce("sign_off", F.lit(False))
+    open_ = ~F.col("terminal") & ~F.col("blank") & ~sign_off
+    finished = (F.col("lined") & F.col("note")) | F.col("ticker")
+    return out.withColumn("at_limit", at_limit).select(
+        "doc_id", "source", "at_limit", "terminal",
+        F.when(open_ & F.col("at_limit"), "limit").when(open_ & ~finished, "transfer").alias("cause"),
+    ).withColumn("truncated", F.col("cause").isNotNull()).distinct()
 
 
 def truncation_shares(signals: DataFrame) -> DataFrame:
-    """Documents, truncated documents and their share per source."""
+    """Documents per source, those cut at a limit and in transfer, and the share of both."""
     lost = F.sum(F.col("truncated").cast("long"))
     return signals.groupBy("source").agg(
-        F.count("*").alias("documents"), lost.alias("truncated"), F.sum((F.col("truncated") & F.col("at_limit")).cast("long")).alias("at_limit"),
+        F.count("*").alias("documents"), lost.alias("truncated"),
+        F.count(F.when(F.col("cause") == "limit", 1)).alias("at_limit"), F.count(F.when(F.col("cause") == "transfer", 1)).alias("in_transfer"),
         F.round(lost / F.count("*"), 6).alias("share"),
     )

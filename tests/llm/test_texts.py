@@ -5,17 +5,28 @@ import pytest
 
 from pitchgrid.llm import leakage as L
 from pitchgrid.llm.packing import pack, packed_documents, packing_report
-from pitchgrid.llm.truncation import truncation_shares, truncation_signals
+from pitchgrid.llm.truncation import _signals, length_spikes, truncation_shares, truncation_signals
 
 
 def test_pack_keeps_every_constraint():
     tokens = np.random.default_rng(2).integers(1, 900, 3000)
-    number = pack(tokens, 1000, 5)
+    number = pack(tokens, 1000, 5, 1000 * 1000)  # a cost that cannot bind
     assert (number >= 0).all() and np.bincount(number, weights=tokens).max() <= 1000 and np.bincount(number).max() <= 5
     assert tokens.sum() / (len(set(number)) * 1000) > 0.97
     assert len(pack(np.array([], dtype=int))) == 0 and len(set(pack(np.array([600, 600]), 1000))) == 2
 
 
+def test_attention_cost_binds():
+    """By tokens and places all pieces would share containers that the cost keeps apart; a dear piece is alone."""
+    tokens = np.array([900] + [400] * 10 + [50] * 40)
+    loose, tight = pack(tokens, 1000, 50, 1_000_000), pack(tokens, 1000, 50, 300_000)
+    cost = lambda n: np.bincount(n, weights=tokens.astype(float) ** 2)
+    assert cost(loose).max() > 300_000 and len(set(loose)) < len(set(tight))
+    several = np.bincount(tight) > 1
+    assert cost(tight)[several].max() <= 300_000 and (tight == tight[0]).sum() == 1
+    assert np.bincount(tight, weights=tokens).max() <= 1000
+
+
 def test_packed_documents(spark):
     words = "alpha beta gamma delta".split()
     rnd = random.Random(1)
@@ -78,11 +89,22 @@ def test_leaks(spark):
 
 def test_truncation(spark):
     rows = [(i, "wire", ("word " * 60)[: 118 - i % 3] + ".") for i in range(30)] + [(100 + i, "wire", ("abc defg " * 60)[i : i + 200]) for i in range(12)]
-    rows += [(200, "t", "12' Goal - Ana Ruiz\n51' Foul for Eva Diaz"), (201, "t", "Full story told.\nReport by staff"), (202, "t", "Another text.\nReport by staff"), (203, "t", "It ends here.\n(desk/ml)"), (204, "t", "It stops in the midd"), (205, "t", 'She said: "Yes."'), (206, "t", "Done.</p> &nbsp; \n"), (207, "t", ""), (208, "t", None), (209, None, "cut of"), (209, None, "cut of"), (210, "t", "x" * 50000 + " " * 20000), (211, "t", "half a charact�")]
+    rows += [(200, "t", "12' Goal - Ana Ruiz\n51' Foul for Eva Diaz"), (201, "t", "Full story told.\nReport by staff"), (202, "t", "Another text.\nReport by staff"), (203, "t", "It ends here.\n(desk/ml)"), (204, "t", "It stops in the midd"), (205, "t", 'She said: "Yes."'), (206, "t", "Done.</p> &nbsp; \n"), (207, "t", ""), (208, "t", None), (209, None, "cut of"), (209, None, "cut of"), (210, "t", "x" * 50000 + " " * 20000), (211, "t", "half a charact�"), (212, "t", "It is over.\nDesk: " + "long list of names, " * 30 + "and one")]
     df = spark.createDataFrame([(i, s, t, 1) for i, s, t in rows], "doc_id long, source string, text string, line int")
     out = truncation_signals(df)
-    cut = {r.doc_id for r in out.where("truncated").collect()}
-    assert cut == {*range(100, 112), 204, 209, 210, 211}
-    assert {r.doc_id for r in out.where("at_limit and truncated").collect()} >= set(range(100, 112))
-    assert {r.source: r.truncated for r in truncation_shares(out).collect()}["wire"] == 12
+    cause = {r.doc_id: r.cause for r in out.where("truncated").collect()}
+    assert cause == {**{100 + i: "limit" for i in range(12)}, 204: "transfer", 209: "transfer", 210: "transfer", 211: "transfer"}
+    shares = {r.source: (r.truncated, r.at_limit, r.in_transfer) for r in truncation_shares(out).collect()}
+    assert shares["wire"] == (12, 12, 0) and shares["t"] == (3, 0, 3)
     assert truncation_signals(df.limit(0)).count() == 0
+
+
+def test_spikes_decide_what_looks_finished(spark):
+    """Ticker lines and notes at a source's common length are cut, the same lines elsewhere are not."""
+    lines = [f"{10 + i % 70}' Foul - Ana {'Ruizdiazkovic' * 3}\n({chr(97 + i % 26) * 160}" for i in range(40)]
+    at_limit = [(i, "feed", f"{t[:119]})" if i % 2 else ("12' Goal for " + "Eva Diazkovic " * 20)[:119] + "x") for i, t in enumerate(lines[:12])]
+    other = [(100 + i, "feed", "12' Goal for Eva " + "Diaz" * (i % 9 + 1)) for i in range(20)]
+    df = spark.createDataFrame(at_limit + other, "doc_id long, source string, text string")
+    out = {r.doc_id: r.cause for r in truncation_signals(df).where("truncated").collect()}
+    assert out == {i: "limit" for i in range(12)}
+    assert [r["at"] for r in length_spikes(_signals(df)).where("measure = 'chars'").collect()] == [120]
