@@ -65,8 +65,40 @@ def test_alignment_against_brute_force(seed):
     doc = np.concatenate([rnd.integers(0, 40, 4), item[2:18], rnd.integers(0, 40, 3)]).astype(np.int32)
     doc[8] = 77
     doc = np.insert(doc, 12, 78).astype(np.int32)
-    assert L.aligned_words(doc, item, 2)[0] == slow_alignment(doc.tolist(), item.tolist())
-    assert L.may_align(doc, item) or L.aligned_words(doc, item)[0] < L.LEAK_WORDS
+    other = rnd.integers(0, 40, 9).astype(np.int32)
+    runs, _ = L.aligned_runs([doc, other], [item, item], 2)
+    assert runs.tolist() == [slow_alignment(doc.tolist(), item.tolist()), slow_alignment(other.tolist(), item.tolist())]
+
+
+@pytest.mark.parametrize("length", [5, 64, 65, 150])
+def test_common_subsequence_against_brute_force(length):
+    """Items within one machine word, at its edge and over several."""
+    rnd = np.random.default_rng(length)
+    items = [rnd.integers(0, 9, length) for _ in range(20)]
+    docs = rnd.integers(0, 9, (20, 56)).astype(np.int32)
+    used = rnd.random((20, 56)) < 0.9
+    index = L.Index([(k, c.astype(np.int32), np.zeros(length, dtype=bool)) for k, c in enumerate(items)], np.ones(L.FEATURES, np.float32), np.ones((L.FEATURES, L.LATENT), np.float32))
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            row = [0] + [last[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1], last[j])
+        return row[-1]
+
+    got = L.common_subsequence(index.numbers(docs), used, index.masks, np.arange(20))
+    assert got.tolist() == [slow(docs[k][used[k]].tolist(), items[k].tolist()) for k in range(20)]
+
+
+def test_word_codes_do_not_depend_on_the_batch():
+    texts = ["Die Straße, l'été <b>42</b>&nbsp;Km", "", "東京 Ωmega O'Neil ﬁn", "x" * 70000 + " End"]
+    assert [L.words_of(t) for t in texts[:3]] == [["die", "strasse", "lete", "42", "km"], [], ["東京", "ωmega", "oneil", "fin"]]
+    whole, counts = L.word_hashes([L.folded(t) for t in texts])
+    assert counts.tolist() == [5, 0, 4, 2]
+    assert whole.tolist() == [c for t in texts for c in L.word_hashes([L.folded(t)])[0].tolist()]
+    assert L.word_hashes([L.folded("a end")])[0][1] == whole[-1] and len(set(whole.tolist())) == 11
 
 
 ITEM = "Read the passage and answer. The hollow tally that Hizexano proposed after losing 35 duels in Plebristeix moved the hinge nearly 54 metres higher than Flomard wanted."
@@ -84,6 +116,7 @@ def test_leaks(spark):
     items = spark.createDataFrame([(1, ITEM), (2, "Read the passage and answer. " + "Given 66 corners, a frugal offside trap and the ledger used by Nostinoux, estimate how many of the 24 headers Nquist won."), (3, None)], "item_id long, item_text string")
     got = {(r.doc_id, r.item_id) for r in L.leaked_items(docs, items).collect()}
     assert got == {(100, 1), (101, 1), (102, 1), (107, 1)}
+    assert got == {(r.doc_id, r.item_id) for r in L.leaked_items(docs.unionByName(spark.createDataFrame([(None, quote, 1), (106, quote[:40], 2)], docs.schema)), items).collect()}
     assert L.leaked_items(docs.limit(0), items).count() == 0 and L.leaked_items(docs, items.limit(0)).count() == 0
 
 
