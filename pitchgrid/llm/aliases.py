@@ -16,11 +16,14 @@ NAME_FIELDS = ["observed_name", "normalized_alias", "known_as", "full_name"]
 #: A token is a given name if this share of the squads (and so many squads) use it; at most
 #: 1 / GIVEN_SHARE times the tokens of a squad are.
 GIVEN_SHARE, GIVEN_SQUADS = 0.05, 3
-#: Family names beside which two given names must stand in one row to be nicknames of each other.
-NICKNAME_SUPPORT = 3
+#: Family names beside which two given names must stand in one row to be nicknames of each other, and their share
+#: of all family names beside which the rarer of the two was replaced; a share does not grow with the data.
+NICKNAME_SUPPORT, NICKNAME_SHARE = 3, 0.02
+#: A nickname is used by this share of the squads; at most 1 / FREQUENT times the tokens of a squad are.
+FREQUENT = 0.005
 
 
-def given_names(squads: DataFrame) -> frozenset[str]:
+def given_names(squads: DataFrame, share: float = GIVEN_SHARE) -> frozenset[str]:
     """Tokens that a fixed share of the squads use; ``squads`` has block and the name fields."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,12 +35,15 @@ def given_names(squads: DataFrame) -> frozenset[str]:
     used = squads.select("block", *fields).mapInPandas(run, "block long, token string").distinct()
     counted = used.groupBy("token").agg(F.count("*").alias("squads"))
     total = squads.select("block").distinct().count()
-    kept = counted.where((F.col("squads") >= GIVEN_SQUADS) & (F.col("squads") >= GIVEN_SHARE * total))
+    kept = counted.where((F.col("squads") >= GIVEN_SQUADS) & (F.col("squads") >= share * total))
     return frozenset(r["token"] for r in kept.select("token").collect())
 
 
 def nicknames(rows: DataFrame, given: frozenset[str]) -> frozenset[tuple[str, str]]:
-    """Pairs of given names that rows use for each other beside at least :data:`NICKNAME_SUPPORT` family names."""
+    """Pairs of given names that rows use for each other beside at least :data:`NICKNAME_SUPPORT` family names.
+
+    Both must be frequent words, of which there is a fixed number, so that what comes to the driver is bounded too.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -49,7 +55,7 @@ def nicknames(rows: DataFrame, given: frozenset[str]) -> frozenset[tuple[str, st
                         if a < b and len(a) > 1 and len(b) > 1:
                             left, right = [t for t in a if t not in b], [t for t in b if t not in a]
                             common = [t for t in a if t in b and t not in given]
-                            if len(left) == len(right) == 1 and common and min(len(left[0]), len(right[0])) > 2:
+                            if len(left) == len(right) == 1 and common and left[0] in frequent and right[0] in frequent and min(len(left[0]), len(right[0])) > 2:
                                 x, y = sorted((left[0], right[0]))
                                 if distance(x, y, 2) > 2 or x[0] != y[0]:
                                     out.add((x, y, max(common, key=len)))
@@ -58,8 +64,13 @@ def nicknames(rows: DataFrame, given: frozenset[str]) -> frozenset[tuple[str, st
     fields = [c for c in NAME_FIELDS if c in rows.columns and c != "normalized_alias"]
     if len(fields) < 2:
         return frozenset()
-    seen = rows.select(*fields).mapInPandas(run, "a string, b string, family string").groupBy("a", "b").agg(F.countDistinct("family").alias("n"))
-    return frozenset((r["a"], r["b"]) for r in seen.where(F.col("n") >= NICKNAME_SUPPORT).select("a", "b").collect())
+    frequent = given_names(rows, FREQUENT)
+    seen = cut(rows.select(*fields).mapInPandas(run, "a string, b string, family string").groupBy("a", "b").agg(F.countDistinct("family").alias("n")))
+    ends = F.explode(F.array("a", "b")).alias("token")
+    total = seen.select(ends, "n").groupBy("token").agg(F.sum("n").alias("total"))
+    of = lambda c: total.select(F.col("token").alias(c), F.col("total").alias(f"total_{c}"))
+    kept = seen.where(F.col("n") >= NICKNAME_SUPPORT).join(of("a"), "a").join(of("b"), "b").where(F.col("n") >= NICKNAME_SHARE * F.least("total_a", "total_b"))
+    return frozenset((r["a"], r["b"]) for r in kept.select("a", "b").collect())
 
 
 def candidates(names: list[list[tuple[str, ...]]], matcher: Matcher) -> Iterator[tuple[int, int]]:
@@ -73,7 +84,8 @@ def candidates(names: list[list[tuple[str, ...]]], matcher: Matcher) -> Iterator
     for t in holders:
         for key in neighbour_keys(t):
             index[key].append(t)
-    near = {(a, b) if a < b else (b, a) for held in index.values() for x, a in enumerate(held) for b in held[x:]}
+    near = {(t, t) for t in holders}
+    near |= {(a, b) if a < b else (b, a) for held in index.values() if len(held) > 1 for x, a in enumerate(held) for b in held[x + 1 :]}
     seen: set[tuple[int, int]] = set()
     for a, b in near:
         if a == b or token_similarity(a, b) > 0 or deletes(a) & deletes(b):

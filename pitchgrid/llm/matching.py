@@ -6,13 +6,14 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.llm.aliases import given_names
 from pitchgrid.llm.groups import connected_components
-from pitchgrid.llm.names import Matcher, fold, matcher_for, sparse_assignment, token_similarity, tokens
+from pitchgrid.llm.names import Matcher, fold, matcher_for, may_share_a_word, signatures, sparse_assignment, token_similarity, tokens
 from pitchgrid.runtime import cut
 
 #: Records a record is compared with in each sort order, and records of a sort order one task compares.
@@ -26,8 +27,12 @@ MOST_TASKS = 20_000
 NAME, CLUB, ROLE, KEEP, KEEP_ALONE = 0.70, 0.22, 0.08, 0.66, 0.50
 #: Similarity of names by :meth:`Matcher.level`.
 LEVELS = {3: 1.0, 2: 0.8, 1: 0.6}
-#: Family names beside which two given names must meet in one squad to be nicknames of each other.
-NICKNAME_SUPPORT = 3
+#: Two given names that stand beside one family name in one squad, in different sources, are nicknames of each
+#: other if so many family names say so and they are this share of those beside which the rarer one stands in
+#: squads that name a family in several sources; a share does not grow with the data as chance meetings do.
+NICKNAME_SUPPORT, NICKNAME_SHARE = 3, 0.05
+#: A nickname is used by this share of the squads; at most 1 / FREQUENT times the tokens of a squad are.
+FREQUENT = 0.005
 #: Pairs whose components one task assigns.
 SHARE = 20_000
 
@@ -131,7 +136,11 @@ def same_key_pairs(records: DataFrame, key: str, order: str, least: int, chunk:
 
 
 def _family_nicknames(records: DataFrame, given: frozenset[str]) -> frozenset[tuple[str, str]]:
-    """Given names that stand beside the same family name in one squad, over and over."""
+    """Given names that stand beside the same family name in one squad, over and over.
+
+    Both must be frequent words, of which there is a fixed number, so that what comes to the driver is bounded too.
+    """
+    frequent = given_names(records, FREQUENT)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(given)
@@ -139,21 +148,22 @@ def _family_nicknames(records: DataFrame, given: frozenset[str]) -> frozenset[tu
             out = set()
             for source, block, name in frame[["source", "block", "observed_name"]].itertuples(index=False):
                 own = tokens(name)
-                first = [t for t in own if len(t) > 2 and t in given]
                 family = [t for t in own if len(t) > 3 and not matcher.is_given(t)]
-                if len(own) == 2 and not family and len(first) == 1:
-                    continue
-                if len(own) == 2 and len(family) >= 1:
-                    other = [t for t in own if t != family[-1]]
-                    if other and len(other[0]) > 2:
-                        out.add((source, block, family[-1], other[0]))
+                first = [t for t in own if t != family[-1] and len(t) > 2 and t in frequent] if family else []
+                if len(own) == 2 and first:
+                    out.add((source, block, family[-1], first[0]))
             yield pd.DataFrame(out, columns=["source", "block", "family", "first"])
 
-    named = cut(records.mapInPandas(run, "source string, block long, family string, first string").distinct())
-    right = named.select("block", "family", F.col("source").alias("source_b"), F.col("first").alias("b"))
-    met = named.withColumnRenamed("first", "a").join(right, ["block", "family"]).where("source <> source_b and a < b and left(a, 2) <> left(b, 2) or (source <> source_b and a < b and levenshtein(a, b) > 2)")
+    # one row per family of a squad: its names are no more than sources x given names
+    named = records.mapInPandas(run, "source string, block long, family string, first string").groupBy("block", "family").agg(F.collect_set(F.struct("source", "first")).alias("names"))
+    named = cut(named.where(F.size(F.array_distinct(F.col("names.source"))) > 1))
+    each = named.select("family", F.explode(F.array_distinct(F.col("names.first"))).alias("first")).groupBy("first").agg(F.countDistinct("family").alias("families"))
+    left = named.select("block", "family", "names", F.explode("names").alias("x"))
+    met = left.select("family", "x", F.explode("names").alias("y")).where("x.source <> y.source and x.first < y.first").select("family", F.col("x.first").alias("a"), F.col("y.first").alias("b"))
+    met = met.where("left(a, 2) <> left(b, 2) or levenshtein(a, b) > 2")
     counted = met.groupBy("a", "b").agg(F.countDistinct("family").alias("n")).where(F.col("n") >= NICKNAME_SUPPORT)
-    return frozenset((r["a"], r["b"]) for r in counted.select("a", "b").collect())
+    counted = counted.join(each.select(F.col("first").alias("a"), F.col("families").alias("f_a")), "a").join(each.select(F.col("first").alias("b"), F.col("families").alias("f_b")), "b")
+    return frozenset((r["a"], r["b"]) for r in counted.where(F.col("n") >= NICKNAME_SHARE * F.least("f_a", "f_b")).select("a", "b").collect())
 
 
 def _assigned(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -178,21 +188,22 @@ def _assigned_groups(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def match_observations(observations: DataFrame, width: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(obs_id_a, obs_id_b, confidence) of records of two sources that describe one player.
+    """(obs_id_a, obs_id_b, confidence, evidence) of records of two sources that describe one player.
 
     Records of one competition and season are sorted by family name, by given name, by the family name's
     consonants and by club; in each order a record is compared with the ``width`` - 1 next ones, and with
     all that share its family name, its consonants and initial, or its known club, however many. A pair's
     confidence weighs the names (:meth:`Matcher.level`), clubs and lines of the team; NULL clubs and
     positions count half; a pair below :data:`KEEP` stays only if neither record has another. Of the pairs kept, those are taken that give the greatest total with each
-    record at most once per pair of sources; two records of one third that are both free are paired too. NULL or empty names match nothing; exact copies are one
+    record at most once per pair of sources; two records of one third that are both free are paired too (:func:`closed_triads`). NULL or empty names match nothing; exact copies are one
     record; of a repeated obs_id one record is kept; no rows give no pairs.
     """
     fields = ["source", "observed_name", "id_competition", "id_season", "id_team", "positions"]
     records = observations.select(F.col("obs_id").cast("long").alias("obs_id"), *fields).where("obs_id is not null and source is not null and observed_name is not null").dropDuplicates(["obs_id"])
     records = cut(records.withColumn("block", F.xxhash64(F.lower("id_competition"), F.regexp_replace(F.lower("id_team"), r"[^\p{L}\d]", ""))))
-    given = given_names(records.where("id_team is not null"))
-    nick = _family_nicknames(records, given)
+    squads = records.where("id_team is not null")
+    given = given_names(squads)
+    nick = _family_nicknames(squads, given)
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = matcher_for(given, nick)
@@ -230,41 +241,44 @@ def match_observations(observations: DataFrame, width: int = WINDOW, block: int
     ends = ["a", "b", "sources", "confidence"]
 
     def compare(frame: pd.DataFrame, own: int) -> pd.DataFrame:
+        """Only pairs that may share a word (:func:`may_share_a_word`, all pairs of a block at once) are compared word by word."""
         matcher = matcher_for(given, nick)
-        rows = list(frame[["obs_id", "source", "observed_name", "id_team", "positions", "scope", "key"]].itertuples(index=False))
+        rows = list(frame[["obs_id", "source", "observed_name", "id_team", "positions"]].itertuples(index=False))
+        names = [tokens(r.observed_name) for r in rows]
+        first, letters = signatures(names)
+        sources, scopes, kinds = (pd.factorize(c)[0] for c in (frame["source"], frame["scope"], frame["key"].str[:1]))
         found = []
-        for i in range(own):
-            x = rows[i]
-            names = tokens(x.observed_name)
-            for y in rows[i + 1 : i + width]:
-                if x.source == y.source or x.scope != y.scope or x.key[0] != y.key[0]:
-                    continue
-                level = matcher.level(names, tokens(y.observed_name))
-                if level > 0 and (pair := scored(x, y, level)):
+        for d in range(1, width):
+            i = np.arange(min(own, len(rows) - d))
+            j = i + d
+            met = (sources[i] != sources[j]) & (scopes[i] == scopes[j]) & (kinds[i] == kinds[j])
+            met &= may_share_a_word((first[i], letters[i]), (first[j], letters[j]))
+            for x, y in zip(i[met].tolist(), j[met].tolist()):
+                level = matcher.level(names[x], names[y])
+                if level > 0 and (pair := scored(rows[x], rows[y], level)):
                     found.append(pair)
         return pd.DataFrame(found, columns=ends).drop_duplicates()
 
-    def by_name(frame: pd.DataFrame) -> list[tuple[tuple[str, ...], list[tuple]]]:
+    def by_name(frame: pd.DataFrame) -> tuple[list[tuple[str, ...]], list[list[tuple]]]:
         held: dict[tuple[str, ...], list[tuple]] = {}
         for r in frame[["obs_id", "source", "observed_name", "id_team", "positions"]].itertuples(index=False):
             held.setdefault(tokens(r.observed_name), []).append(r)
-        return list(held.items())
+        return list(held), list(held.values())
 
     def compare_all(left: pd.DataFrame, right: pd.DataFrame | None) -> pd.DataFrame:
         """Names are compared once for all records that write them so."""
         matcher = matcher_for(given, nick)
-        one = by_name(left)
-        other = one if right is None else by_name(right)
+        names, held = by_name(left)
+        others, theirs = (names, held) if right is None else by_name(right)
+        (fa, la), (fb, lb) = signatures(names), signatures(others)
+        met = may_share_a_word((fa[:, None], la[:, None]), (fb[None], lb[None]))
         found = []
-        for i, (name, xs) in enumerate(one):
-            for j, (also, ys) in enumerate(other):
-                if right is None and j < i:
-                    continue
-                level = matcher.level(name, also)
-                if level > 0:
-                    same = right is None and i == j
-                    met = ((x, y) for at, x in enumerate(xs) for y in (xs[at + 1 :] if same else ys) if x.source != y.source)
-                    found += [pair for x, y in met if (pair := scored(x, y, level))]
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(met) if right is None else met))):
+            level = matcher.level(names[i], others[j])
+            if level > 0:
+                same = right is None and i == j
+                pairs = ((x, y) for at, x in enumerate(held[i]) for y in (held[i][at + 1 :] if same else theirs[j]) if x.source != y.source)
+                found += [pair for x, y in pairs if (pair := scored(x, y, level))]
         return pd.DataFrame(found, columns=ends)
 
     kind = "a long, b long, sources string, confidence double"
@@ -280,21 +294,23 @@ def match_observations(observations: DataFrame, width: int = WINDOW, block: int
     rooted = ends.join(roots.select(F.col("vertex").alias("u"), "root"), "u").withColumn("share", F.pmod(F.xxhash64("root"), F.lit(shares)))
     grouped = rooted.repartition(shares, "share").groupBy("share").applyInPandas(_assigned_groups, "a long, b long, confidence double")
     chosen = closed_triads(cut(grouped), records.select("obs_id", "source"))
-    return chosen.select(F.least("a", "b").alias("obs_id_a"), F.greatest("a", "b").alias("obs_id_b"), F.round("confidence", 4).alias("confidence"))
+    return chosen.select(F.least("a", "b").alias("obs_id_a"), F.greatest("a", "b").alias("obs_id_b"), F.round("confidence", 4).alias("confidence"), "evidence")
 
 
 def closed_triads(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """``pairs`` and those of two records matched to the same third, where neither has a partner in the other's source.
+    """``pairs`` (``evidence`` compared) and those of two records matched to the same third (``evidence`` third), where neither has a partner in the other's source.
 
-    A record has at most one partner per source, so a third record joins as many pairs as there are sources.
+    Such records write the name too differently to be compared, one by its initial, one by a nickname; the pair is
+    right if both matches are, so its confidence is their product. A record has at most one partner per
+    source, so a third record joins as many pairs as there are sources.
     """
     ends = pairs.select("a", "b", "confidence").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
     ends = cut(ends.join(sources.select(F.col("obs_id").alias("b"), F.col("source").alias("of")), "b"))
     left = ends.select("a", F.col("b").alias("x"), F.col("of").alias("sx"), F.col("confidence").alias("cx"))
     right = ends.select("a", F.col("b").alias("y"), F.col("of").alias("sy"), F.col("confidence").alias("cy"))
-    open_ = left.join(right, "a").where("sx < sy").select("x", "y", "sx", "sy", F.least("cx", "cy").alias("confidence"))
+    open_ = left.join(right, "a").where("sx < sy").select("x", "y", "sx", "sy", (F.col("cx") * F.col("cy")).alias("confidence"))
     taken = ends.select(F.col("a").alias("x"), F.col("of").alias("sy"))
     free = open_.join(taken, ["x", "sy"], "left_anti").join(taken.select(F.col("x").alias("y"), F.col("sy").alias("sx")), ["y", "sx"], "left_anti")
     best = free.groupBy("x", "sy").agg(F.max(F.struct("confidence", "y")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.confidence").alias("confidence"))
     once = best.groupBy("y").agg(F.max(F.struct("confidence", "x")).alias("m")).select(F.col("m.x").alias("a"), F.col("y").alias("b"), F.col("m.confidence").alias("confidence"))
-    return pairs.select("a", "b", "confidence").unionByName(once)
+    return pairs.select("a", "b", "confidence", F.lit("compared").alias("evidence")).unionByName(once.withColumn("evidence", F.lit("third")))

@@ -7,6 +7,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+
 #: Letters that Unicode does not decompose (fixed values).
 PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i", "'": None, "’": None, "`": None, "´": None})
 #: Words that join the parts of a name without telling persons apart (fixed values).
@@ -79,6 +81,15 @@ def distance(a: str, b: str, most: int = 3) -> int:
     return min(last[-1], most + 1)
 
 
+@lru_cache(maxsize=200_000)
+def letter_set(token: str) -> int:
+    """The letters of a token as bits: an edit changes two of them at most."""
+    bits = 0
+    for c in token:
+        bits |= 1 << (ord(c) & 31)
+    return bits
+
+
 @lru_cache(maxsize=500_000)
 def token_similarity(a: str, b: str) -> float:
     """1 for equal tokens, less for edits, abbreviations and initials, 0 for different tokens."""
@@ -89,13 +100,15 @@ def token_similarity(a: str, b: str) -> float:
         return 0.55 if long.startswith(short) else 0.0
     if len(short) == 2 and long.startswith(short):
         return 0.6
-    edits = distance(a, b)
-    allowed = 1 if len(long) <= 5 else 2 if len(long) <= 9 else 3
-    if len(short) >= 3 and edits <= allowed and (edits <= 1 or short[0] == long[0]) and edits * 3 <= len(short):
-        return 1.0 - 0.12 * edits
+    # edits are only counted where their bound can hold: first letters, lengths and letters say most
+    allowed = min(1 if len(long) <= 5 or short[0] != long[0] else 2 if len(long) <= 9 else 3, len(short) // 3)
+    if allowed and len(long) - len(short) <= allowed and (letter_set(a) ^ letter_set(b)).bit_count() <= 2 * allowed:
+        edits = distance(a, b, allowed)
+        if edits <= allowed:
+            return 1.0 - 0.12 * edits
     if len(short) >= 3 and long.startswith(short):
         return 0.75
-    if len(short) == 3 and len(long) > 4 and distance(short, long[:3], 1) <= 1 and short[0] == long[0]:
+    if len(short) == 3 and len(long) > 4 and short[0] == long[0] and distance(short, long[:3], 1) <= 1:
         return 0.45
     return 0.0
 
@@ -173,6 +186,32 @@ def sparse_assignment(weights: dict[int, dict[int, float]]) -> list[tuple[int, i
     return list(of_row.items())
 
 
+def signatures(names: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(first letters, letter sets) of the words of three letters or more of every name, zeros behind them."""
+    words = [[t for t in name if len(t) > 2] for name in names]
+    wide = max(map(len, words), default=0)
+    first, letters = np.zeros((len(names), wide), dtype=np.uint8), np.zeros((len(names), wide), dtype=np.uint32)
+    for i, own in enumerate(words):
+        for k, t in enumerate(own):
+            first[i, k], letters[i, k] = ord(t[0]) & 255, letter_set(t)
+    return first, letters
+
+
+def may_share_a_word(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """False only where :meth:`Matcher.level` of two names is 0, from their :func:`signatures`; leading axes broadcast.
+
+    Words that :func:`token_similarity` finds alike by three edits differ in six letters at most, by more
+    than one edit or as a beginning only with the same first letter; a beginning has no letters of its own.
+    """
+    out = np.zeros(np.broadcast_shapes(a[0].shape[:-1], b[0].shape[:-1]), dtype=bool)
+    for k in range(a[0].shape[-1]):
+        for l in range(b[0].shape[-1]):  # noqa: E741
+            x, y, p, q = a[1][..., k], b[1][..., l], a[0][..., k], b[0][..., l]
+            apart = np.bitwise_count(x ^ y)
+            out |= (p > 0) & (q > 0) & ((apart <= 2) | ((p == q) & ((apart <= 6) | (x & ~y == 0) | (y & ~x == 0))))
+    return out
+
+
 class Matcher:
     """Compares names token by token, knowing the given names and nicknames that a corpus uses."""
 
@@ -187,7 +226,8 @@ class Matcher:
         if known is None:
             known = token in self.given or len(token) < 3
             if not known and len(token) >= 3:
-                known = any(g.startswith(token) for g in self.given) if len(token) <= 4 else any(distance(token, g, 1) <= 1 for g in self.given)
+                own = letter_set(token)
+                known = any(g.startswith(token) for g in self.given) if len(token) <= 4 else any((own ^ letter_set(g)).bit_count() <= 2 and distance(token, g, 1) <= 1 for g in self.given)
             self._given_memo[token] = known
         return known
 
@@ -207,6 +247,8 @@ class Matcher:
 
     def _level(self, a: tuple[str, ...], b: tuple[str, ...]) -> int:
         sims = [[self.similarity(x, y) for y in b] for x in a]
+        if not any(s >= 0.64 and len(x) >= 3 and len(y) >= 3 for x, row in zip(a, sims) for y, s in zip(b, row)):
+            return 0
         few = max(len(a), len(b)) <= 8
         pairs = assignment(sims) if few else sparse_assignment({i: dict(enumerate(row)) for i, row in enumerate(sims)})
         anchors = [(i, j) for i, j in pairs if sims[i][j] >= 0.64 and min(len(a[i]), len(b[j])) >= 3 and not (self.is_given(a[i]) and self.is_given(b[j]))]
