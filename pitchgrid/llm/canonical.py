@@ -29,6 +29,11 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _SECOND = re.compile(r"\s+[-–—]\s+|,\s*|\(|/")
 
 
+def _key(*columns: str) -> Column:
+    """128 bits that stand for a spelling; a NULL differs from every text, wherever it stands."""
+    return F.md5(F.to_json(F.array(*[F.struct(F.col(c).cast("string").alias("v")) for c in columns])))
+
+
 def _words(text: str | None) -> list[str]:
     return [w for w in _SPLIT.split(fold(text)) if w]
 
@@ -133,7 +138,7 @@ def map_venues(reports: DataFrame, venues: DataFrame) -> DataFrame:
     spelled = rows.select("venue_name", "city", "country").distinct()
     parts = name_parts("venue_name")
     spelled = spelled.withColumn("parts", parts).withColumns({
-        "lid": F.xxhash64("venue_name", "city", "country"),
+        "lid": _key("venue_name", "city", "country"),
         "l_words": folded_words(F.get("parts", F.lit(0))), "behind": folded_words(F.get("parts", F.lit(1))), "l_city_words": folded_words("city"),
     })
     spelled = cut(spelled.withColumn("place", F.when(F.size("l_city_words") > 0, F.col("l_city_words")).otherwise(F.col("behind"))))
@@ -161,7 +166,7 @@ def map_venues(reports: DataFrame, venues: DataFrame) -> DataFrame:
     # a place alone must leave no second ground of that place
     clear = F.col("b.name").isNotNull() | (F.size("all") == 1) | (F.get("all", F.lit(0)) - F.get("all", F.lit(1)) > 0.1)
     best = best.where(clear).select("lid", F.col("b.rid").alias("by_text"), F.col("b.score").alias("score"))
-    out = rows.withColumn("lid", F.xxhash64("venue_name", "city", "country")).join(best, "lid", "left").join(listed.select(F.col("rid").alias("qid"), F.lit(True).alias("known")), "qid", "left")
+    out = rows.withColumn("lid", _key("venue_name", "city", "country")).join(best, "lid", "left").join(listed.select(F.col("rid").alias("qid"), F.lit(True).alias("known")), "qid", "left")
     ref = F.when(F.col("known"), F.col("qid")).otherwise(F.coalesce("by_text", F.lit("none")))
     ranked = out.select("row_id", F.struct((ref != "none").alias("hit"), F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("score", F.lit(0.0)).alias("score"), ref.alias("ref_id")).alias("r"))
     return ranked.groupBy("row_id").agg(F.max("r").alias("r")).select("row_id", F.col("r.ref_id").alias("ref_id"))
@@ -196,15 +201,15 @@ def map_clubs(values: DataFrame, clubs: DataFrame) -> DataFrame:
     words of which the value names neither kind leave it unmatched. NULL and blank values and
     placeholders give ``none``; repeated values come out once.
     """
-    spelled = cut(values.select("value").where("value is not null").distinct().withColumns({"l_words": folded_words("value"), "lid": F.xxhash64("value")}))
+    spelled = cut(values.select("value").where("value is not null").distinct().withColumns({"l_words": folded_words("value"), "lid": _key("value")}))
     listed = clubs.select(F.col("id_team").alias("rid"), "name").where("rid is not null").dropDuplicates(["rid"])
     listed = cut(listed.withColumn("words", folded_words(F.coalesce("name", F.replace("rid", F.lit("_"), F.lit(" "))))))
     kinds = kind_words(listed)
     listed = listed.select("rid", F.filter("words", lambda w: ~w.isin(kinds)).alias("core"), F.filter("words", lambda w: w.isin(kinds)).alias("r_kind"))
     # every word of the value may be the club's name, the others kind words, sponsors and suffixes
     typed = spelled.select("lid", "l_words", F.explode(F.filter("l_words", lambda w: ~w.isin(kinds) & (F.length(w) > 3))).alias("word")).distinct()
-    typed = cut(typed.withColumn("wid", F.xxhash64("word")))
-    words = cut(listed.select("rid", "r_kind", F.explode("core").alias("core"), F.size("core").alias("cores")).withColumn("cid", F.xxhash64("core")))
+    typed = cut(typed.withColumn("wid", F.col("word")))
+    words = cut(listed.select("rid", "r_kind", F.explode("core").alias("core"), F.size("core").alias("cores")).withColumn("cid", F.col("core")))
     pairs = similarity_join(
         typed.select(F.col("wid").alias("lid"), grams(F.array("word")).alias("tokens")).distinct(),
         words.select(F.col("cid").alias("rid"), grams(F.array("core")).alias("tokens")).distinct(), WORD_JACCARD,

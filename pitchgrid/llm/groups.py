@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchgrid.operators.lookup import small
 from pitchgrid.operators.packed import Packed, long_fields, split_fields
 from pitchgrid.runtime import cut
 
 #: Edges a block of the grid holds on average; the grid grows with the number of edges.
 BLOCK_EDGES = 200_000
-#: Holders from which a key is joined by broadcast: at most rows / HOT such keys of 24 bytes exist.
+#: Holders from which a key is hot: such keys are joined by broadcast where their number is proven small.
 HOT = 10_000
 
 
@@ -45,7 +46,8 @@ def connected_components(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> Da
     The vertices are hashed into blocks and every pair of blocks runs a local union-find over its own
     edges. A vertex then takes the smallest representative its row and column of the grid offer, and
     representatives that met in one vertex are the edges of the next round, until no such edge is
-    left. A hub's edges spread over a whole row of blocks. Edges with a NULL end and loops are
+    left. A hub's edges spread over a whole row of blocks, and a block of more than twice the average over
+    several tasks. Edges with a NULL end and loops are
     dropped; repeated edges count once; without edges the result is empty.
     """
     current = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
@@ -57,7 +59,13 @@ def connected_components(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> Da
             break
         side = max(2, math.ceil(math.sqrt(number / block_edges)))
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-        reps = current.groupBy(block("u").alias("i"), block("v").alias("j")).applyInPandas(_block, "vertex long, rep long")
+        placed = current.select("u", "v", block("u").alias("i"), block("v").alias("j")).withColumn("part", F.lit(0).cast("long"))
+        if number > 2 * block_edges:
+            # a hub fills one row of blocks: a block far above the average is cut into parts
+            full = placed.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block_edges)
+            full = small(cut(full.select("i", "j", F.ceil(F.col("n") / block_edges).alias("parts"))))
+            placed = placed.join(full, ["i", "j"], "left").withColumn("part", F.pmod(F.xxhash64("u", "v", F.lit(1)), F.coalesce("parts", F.lit(1)))).drop("parts")
+        reps = placed.groupBy("i", "j", "part").applyInPandas(_block, "vertex long, rep long")
         reps = cut(reps)
         parents = reps.groupBy("vertex").agg(F.min("rep").alias("parent"))
         current = reps.join(parents, "vertex").where("rep <> parent").select(F.col("rep").alias("u"), F.col("parent").alias("v")).distinct()
@@ -91,12 +99,12 @@ def shared_key_edges(holders: DataFrame) -> DataFrame:
     ``holders`` has vertex, key and ``owner``: NULL for keys that join any two holders, else whether
     this vertex owns the key; such a key joins its holders only where one of them owns it. A key is
     reduced to its smallest holder before the holders are joined to it; keys held more than
-    :data:`HOT` times are joined by broadcast, so that no task gets all their holders.
+    :data:`HOT` times are joined by broadcast (after a count, :func:`small`), so that no task gets all their holders.
     """
     rows = cut(holders.where("key is not null and vertex is not null").select("vertex", F.xxhash64("key").alias("k1"), F.xxhash64("key", F.lit(7), F.reverse("key")).alias("k2"), "owner").distinct())
     stars = rows.groupBy("k1", "k2").agg(F.min("vertex").alias("low"), F.count("*").alias("n"), F.max("owner").alias("owned"), F.count("owner").alias("kept"))
     stars = cut(stars.where("n > 1 and (kept = 0 or owned)").select("k1", "k2", "low", "n"))
-    joined = rows.join(stars.where(F.col("n") <= HOT), ["k1", "k2"]).unionByName(rows.join(F.broadcast(stars.where(F.col("n") > HOT)), ["k1", "k2"]))
+    joined = rows.join(stars.where(F.col("n") <= HOT), ["k1", "k2"]).unionByName(rows.join(small(stars.where(F.col("n") > HOT)), ["k1", "k2"]))
     return joined.where("vertex <> low").select(F.col("vertex").alias("u"), F.col("low").alias("v"))
 
 

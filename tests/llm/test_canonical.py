@@ -1,6 +1,6 @@
 import random
 
-from pitchgrid.llm.canonical import map_clubs, map_venues, similarity_join
+from pitchgrid.llm.canonical import _key, map_clubs, map_venues, similarity_join
 
 
 def test_join_against_brute_force(spark):
@@ -26,3 +26,14 @@ def test_venues(spark):
     assert {r.row_id: r.ref_id for r in map_venues(df, venues).collect()} == {"a": "Q9100003", "b": "Q9104951", "c": "Q9112373", "d": "none", "e": "Q9176697", "f": "none"}
     assert {r.ref_id for r in map_venues(df.where("id_stadium <> 'b'"), venues.limit(0)).collect()} == {"none"}
     assert map_venues(df.limit(0), venues).count() == 0
+
+
+def test_a_null_is_not_its_neighbour(spark):
+    """The same texts in other columns are other spellings, each with its own entry."""
+    venues = spark.createDataFrame([(1, "Gamiox Road", "Beskabro", "Turkey", "Q1"), (2, "Campo Bitadrox", "Fodecri", "Czechia", "Q2"), (3, "Stade Wavojem", "Rufleseind", "England", "Q3")], "venue_no long, venue_name string, city string, country string, id_wikidata string")
+    rows = [("a", "Gamiox", None, "Turkey", None), ("b", "Gamiox", "Turkey", None, None), ("c", None, "Gamiox", "Turkey", None)]
+    df = spark.createDataFrame(rows, "id_stadium string, venue_name string, city string, country string, idWikidata string")
+    keys = {r.row_id: r.k for r in df.select(df.id_stadium.alias("row_id"), _key("venue_name", "city", "country").alias("k")).collect()}
+    assert len(set(keys.values())) == 3
+    got = {r.row_id: r.ref_id for r in map_venues(df, venues).collect()}
+    assert got["a"] == "Q1" and got["c"] == "none"
