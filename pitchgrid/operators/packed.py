@@ -11,10 +11,10 @@ from pitchgrid.runtime import cut
 
 #: Signs that may divide a field, with the weight they get before any row was seen.
 SIGN_PRIOR = {"|": 0.9, ";": 0.9, "\n": 0.9, "\t": 0.9, "/": 0.6, ",": 0.6}
-#: Rows the prior counts for when it is mixed with the observed regularity.
-PRIOR_ROWS = 20.0
+#: Rows the prior counts for when it is mixed with the observed evidence: some dozens of rows of a source decide alone.
+PRIOR_ROWS = 10.0
 #: Mixed score from which a sign divides a source's fields.
-ACCEPT = 0.25
+ACCEPT = 0.4
 #: The sign that only divides where no other one does.
 WEAK_SIGN = ","
 #: White space, which divides only where neither another sign nor the weak one does; a count in brackets stays with its value.
@@ -90,7 +90,7 @@ def _shape(piece: Column) -> Column:
     """Type of a piece: words, joints and figures, without a count in brackets."""
     bare = F.regexp_replace(piece, r"\s*\(\d+\)$", "")
     words = F.regexp_replace(bare, r"[\p{L}\p{M}'.]+", "w")
-    return F.substring(F.regexp_replace(F.regexp_replace(words, r"\d+", "9"), r"w([ \-_]w)+", "w+"), 1, 12)
+    return F.regexp_replace(F.regexp_replace(words, r"\d+", "9"), r"w([ \-_]w)+", "w+")
 
 
 def long_fields(df: DataFrame, packed: list[Packed]) -> DataFrame:
@@ -154,16 +154,24 @@ def infer_signs(fields: DataFrame) -> DataFrame:
 def _other_signs(fields: DataFrame) -> DataFrame:
     """Score each sign of :data:`SIGN_PRIOR` for each (field, source): one row per sign seen.
 
-    For the rows that hold a sign outside quotes, every piece's type is looked up among the types of
-    the undivided rows of the same field (type regularity); the share of rows whose pieces are all
-    values (piece-count consistency) weighs it. The result has at most fields x sources x 6 rows.
+    For the rows that hold a sign outside quotes (a comma: where no other sign stands), every piece's type
+    is looked up among the types of the undivided rows of the same field (type regularity). Piece-count
+    consistency weighs it: the squared mean of the rows' piece counts over the mean of their squares, 1
+    where all rows have as many, times the share of rows whose pieces are all values. The result has at
+    most fields x sources x 6 rows.
     """
     masked = fields.select("field", "source", _masked(_unwrapped(F.col("text"))).alias("masked"))
-    whole = F.array([F.lit(s) for s in SIGN_PRIOR])
-    seen = masked.withColumn("sign", F.explode(F.filter(whole, lambda s: F.contains(F.col("masked"), s))))
-    cut = F.filter(F.transform(F.split(_translate("masked", F.col("sign"), F.lit("\x01")), "\x01", -1), _cleaned), lambda p: p.isNotNull())
-    pieces = seen.select("field", "source", "sign", cut.alias("pieces"), F.size(F.split(_translate("masked", F.col("sign"), F.lit("\x01")), "\x01", -1)).alias("n"))
-    steady = pieces.groupBy("field", "source", "sign").agg(F.count("*").alias("rows"), F.avg((F.size("pieces") >= F.col("n") - 1).cast("double")).alias("consistency"))
+    strong = [s for s in SIGN_PRIOR if s != WEAK_SIGN]
+    present = F.filter(F.array([F.lit(s) for s in strong]), lambda s: F.contains(F.col("masked"), s))
+    weak = F.when(F.contains("masked", F.lit(WEAK_SIGN)), F.array(F.lit(WEAK_SIGN)))
+    seen = masked.withColumn("sign", F.explode(F.when(F.size(present) > 0, present).otherwise(weak)))
+    whole = F.split(_translate("masked", F.col("sign"), F.lit("\x01")), "\x01", -1)
+    pieces = seen.select("field", "source", "sign", F.filter(F.transform(whole, _cleaned), lambda p: p.isNotNull()).alias("pieces"), F.size(whole).alias("n"))
+    size = F.size("pieces").cast("double")
+    steady = pieces.groupBy("field", "source", "sign").agg(
+        F.count("*").alias("rows"),
+        (F.coalesce(F.avg(size) * F.avg(size) / F.nullif(F.avg(size * size), F.lit(0.0)), F.lit(0.0)) * F.avg((size >= F.col("n") - 1).cast("double"))).alias("consistency"),
+    )
     types = (
         pieces.select("field", "source", "sign", F.explode("pieces").alias("piece"))
         .groupBy("field", "source", "sign", _shape(F.col("piece")).alias("shape"))

@@ -49,3 +49,22 @@ def test_blanks_divide_codes_only(spark):
     assert [[v for _, v in got[84 + i]] for i in range(4)] == [["D", "M", "S"], ["M", "S"], ["D (2)", "M (11)"], ["M", "S"]]
     assert [p for p, _ in got[84]] == [1, 2, 3] and got[3] == [(1, "D (22)")]
     assert all(got[1000 + i] == [(1, v)] for i, v in enumerate(words))
+
+
+def test_evidence_decides_about_a_sign(spark):
+    """A source that writes the sign inside its values rejects it, another that divides with it accepts it."""
+    rows = [(i, "paths", f"x{i}/{i}-7/..") for i in range(60)] + [(100 + i, "paths", "word") for i in range(20)]
+    rows += [(200 + i, "lists", "word/other") for i in range(60)] + [(300 + i, "lists", "word") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, source string, v string")
+    fields = long_fields(df, P)
+    assert {r.source: r.accepted for r in infer_signs(fields).where("sign = '/'").collect()} == {"paths": False, "lists": True}
+    got = {r.row_id: r.value for r in split_packed(df, P).where("pos = 1").collect()}
+    assert got[5] == "x5/5-7/.." and got[205] == "word"
+
+
+def test_uneven_counts_weigh_less(spark):
+    even = [(i, "even", "a;b") for i in range(40)]
+    uneven = [(100 + i, "uneven", ";".join("ab"[: 1 + i % 2] * (1 + 9 * (i % 4 == 0)))) for i in range(40)]
+    df = spark.createDataFrame([*even, *uneven, (900, "even", "a"), (901, "uneven", "a")], "id long, source string, v string")
+    share = {r.source: r.consistency for r in infer_signs(long_fields(df, P)).where("sign = ';'").collect()}
+    assert share["even"] == 1.0 and share["uneven"] < 0.7
