@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid.runtime import cut
 
-#: Rows of a fixpoint step below which the step's keys are broadcast (16 bytes each: 8 MB at most).
+#: Rows of a fixpoint step up to which the step's keys are broadcast (a number and 16 bytes each: 10 MB at most).
 BROADCAST_KEYS = 500_000
 
 
@@ -89,10 +89,13 @@ def orphan_references(relations: dict[str, Relation], references: list[Reference
     keys = _keys(relations, references).distinct()
     direct = hashed.join(keys, ["ref_no", "k1", "k2"], "left_anti").drop("k1", "k2").distinct().withColumns({"kind": F.lit("direct"), "depth": F.lit(0)})
     columns = ["kind", "depth", "tab", "field", "row_id", "ref", "period"]
-    # a row can only pass its fault on where some reference names its table's row ids
-    down = {i: r for i, r in enumerate(references) if relations[r.target].row_id == r.target_key}
+    # a row can only pass its fault on if its table has references itself and some reference names its row ids
+    holders = {r.table for r in references}
+    down = {i: r for i, r in enumerate(references) if relations[r.target].row_id == r.target_key and r.target in holders}
     if not inherited or not down:
         return direct.select(*columns)
+    # only these references are followed, so every step reads them from one narrow table and no base table again
+    below = cut(hashed.where(F.col("ref_no").isin(list(down))).distinct())
     direct = cut(direct.select("ref_no", *columns))
     found, step, depth = [direct], direct, 0
     seen = direct.select("tab", F.xxhash64("row_id").alias("id1"), F.xxhash64("row_id", F.lit(7)).alias("id2")).distinct()
@@ -100,12 +103,11 @@ def orphan_references(relations: dict[str, Relation], references: list[Reference
         depth += 1
         parents = step.select("tab", "row_id").where("row_id is not null").distinct()
         hit = F.array(*[F.struct(F.lit(i).alias("ref_no"), F.lit(r.target).alias("target")) for i, r in down.items()])
-        frontier = parents.select(F.inline(hit), "tab", F.col("row_id").alias("ref")).where("target = tab").select("ref_no", "ref")
-        bounded = frontier.limit(BROADCAST_KEYS + 1).count()
-        if not bounded:
+        frontier = cut(parents.select(F.inline(hit), "tab", "row_id").where("target = tab").select("ref_no", *_digest(F.col("row_id"))))
+        size = frontier.count()
+        if not size:
             break
-        small = F.broadcast(frontier) if bounded <= BROADCAST_KEYS else frontier
-        children = edges.where(F.col("ref_no").isin(list(down))).join(small, ["ref_no", "ref"], "left_semi").distinct()
+        children = below.join(F.broadcast(frontier) if size <= BROADCAST_KEYS else frontier, ["ref_no", "k1", "k2"], "left_semi").drop("k1", "k2")
         fresh = children.withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth), "id1": F.xxhash64("row_id"), "id2": F.xxhash64("row_id", F.lit(7))})
         fresh = cut(fresh.join(seen, ["tab", "id1", "id2"], "left_anti").select("ref_no", *columns, "id1", "id2"))
         found.append(fresh.drop("id1", "id2"))
