@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,15 @@ EU_ZONES = {
     "Europe/Budapest": 60, "Europe/Copenhagen": 60, "Europe/Stockholm": 60, "Europe/Oslo": 60, "Europe/Belgrade": 60,
     "Europe/Athens": 120, "Europe/Helsinki": 120, "Europe/Bucharest": 120, "Europe/Sofia": 120,
 }
+#: First year in which all these zones follow that rule; for earlier years, and for zones not listed, the offset is
+#: the one of the JVM's own zone rules.
+EU_SINCE = 1997
 #: First and last year that is taken for real.
 YEARS = (1800, 2200)
 
 _NAME = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
-_ZONE = r"z|[+-]\d{2}(?::?\d{2})?|\(?(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?\)?|\[?[a-z]+(?:/[a-z_+\-]+)+\]?|\(?[a-z]{1,5}\)?"
+_ZONE = r"z|[+-]\d{2}(?::?\d{2})?|\(?(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?\)?|\[?[a-z]+(?:/[a-z0-9_+\-]+)+\]?|\(?[a-z]{1,5}\)?"
 #: Groups: y year, m month in figures, n month in letters, d day, a and b day or month, k compact day, e epoch, h, i, s, f, p, z.
 _DAYS = [
     r"(?<y1>\d{4})(?<q1>[-/.])(?<m1>\d{1,2})\k<q1>(?<d1>\d{1,2})",
@@ -32,7 +36,7 @@ _DAYS = [
     rf"{_WEEKDAY}(?<n2>{_NAME})\s*(?<d3>\d{{1,2}}),?\s+(?<y4>\d{{4}})",
     r"(?<y5>\d{4})(?<m2>\d{2})(?<d4>\d{2})",
 ]
-_TIME = r"(?<h1>\d{1,2})(?::(?<i1>\d{2})(?::(?<s1>\d{2})(?:[.,](?<f1>\d{1,9}))?)?)?(?:\s*(?<p1>[ap])\.?m\.?)?(?:\s*uhr)?"
+_TIME = r"(?<h1>\d{1,2})(?::(?<i1>\d{2})(?::(?<s1>\d{2})(?:[.,](?<f1>\d{1,9}))?)?)?(?:\s*(?<p1>[ap])\.?m\b\.?)?(?:\s*uhr)?"
 _COMPACT = r"(?<h2>\d{2})(?<i2>\d{2})(?<s2>\d{2})?(?:[.,](?<f2>\d{1,9}))?"
 PATTERN = (
     r"(?is)^\s*(?:(?<e1>\d{12,13})|(?<e2>\d{9,10})|"
@@ -81,6 +85,17 @@ def _lookup(keys: dict[str, int], key: Column) -> Column:
     return found
 
 
+def _zone_ids() -> Column:
+    """Map literal from every zone name that the JVM knows, in lower case, to its spelling."""
+    names = sorted(str(x) for x in SparkContext._active_spark_context._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return F.create_map(*[F.lit(x) for name in names if "/" in name for x in (name.lower(), name)])
+
+
+def _utc_by_rules(local: Column, zone: Column) -> Column:
+    """The instant of a wall time in a named zone by the JVM's zone rules; the earlier one if it occurs twice."""
+    return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), zone))
+
+
 def _year(seconds: Column) -> Column:
     return F.year(F.date_from_unix_date(F.floor(seconds / DAY).cast("int")))
 
@@ -93,11 +108,12 @@ def _let(value: Column, body) -> Column:
 def epoch_seconds(text: Column, zone: Column) -> Column:
     """The UTC instant of ``text`` in seconds, fractions dropped; NULL where it denotes none.
 
-    Text without zone is wall time of ``zone`` (a key of :data:`EU_ZONES`), of UTC where that is NULL. Of
+    Text without zone is wall time of ``zone``, of UTC where that is NULL. A zone under the European rule is
+    integer arithmetic; another named one, or a year before :data:`EU_SINCE`, goes by the JVM's zone rules. Of
     a wall time that occurs twice the earlier instant counts; one inside a gap moves on by it. The day
     precedes the month unless that is impossible. All digits: 8 a day, 9 or 10 epoch seconds, 12 or 13
     epoch milliseconds. Blank or NULL text, parts out of their calendar range and unknown zones give
-    NULL; texts of any length are tried whole. Every step is an integer expression of the JVM.
+    NULL; texts of any length are tried whole. Every step is an expression of the JVM.
     """
     return _let(components(text), lambda g: _let(_parts(g), lambda a: _let(_fields(g, a, zone), lambda b: _let(_clock(a, b), lambda c: _instant(g, a, b, c)))))
 
@@ -129,6 +145,7 @@ def _fields(g: Column, a: Column, zone: Column) -> Column:
         F.when(F.length(offset) <= 2, F.concat(offset, F.lit("00"))).otherwise(offset).try_cast("long").alias("off"),
         _lookup(EU_ZONES, F.when(z == "", F.lower(zone)).otherwise(z)).alias("eu"),
         _lookup(ABBREVIATIONS, z).alias("fixed"),
+        F.when(z.contains("/") | ((z == "") & zone.isNotNull()), F.element_at(_zone_ids(), F.when(z == "", F.lower(zone)).otherwise(z))).alias("named"),
     )
 
 
@@ -149,7 +166,8 @@ def _instant(g: Column, a: Column, b: Column, c: Column) -> Column:
     instant = (
         F.when(b["sign"] != "", local - c["shift"])
         .when(b["fixed"].isNotNull(), local - b["fixed"] * 60)
-        .when(b["eu"].isNotNull(), F.when(summer, early).otherwise(early + 3600))
+        .when(b["eu"].isNotNull() & (a["y"] >= EU_SINCE), F.when(summer, early).otherwise(early + 3600))
+        .when(b["named"].isNotNull(), _utc_by_rules(local, b["named"]))
         .when(a["z"] == "", local)
     )
     epoch = F.when(g["ms"] != "", F.floor(_number(g, "ms") / 1000)).when(g["e"] != "", _number(g, "e"))
@@ -169,12 +187,14 @@ def iso_instant(seconds: Column) -> Column:
 
 
 def local_day(seconds: Column, zone: str) -> Column:
-    """Calendar day ``YYYY-MM-DD`` of an instant in a zone under the European rule."""
-    winter = EU_ZONES[zone] * 60
+    """Calendar day ``YYYY-MM-DD`` of an instant in a zone; see :func:`epoch_seconds` for the rules."""
+    by_rules = lambda s: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(s), zone))
 
     def day(x: Column) -> Column:
-        summer = (x["s"] >= _switch(x["y"], 3)) & (x["s"] < _switch(x["y"], 10))
-        shifted = x["s"] + winter + F.when(summer, 3600).otherwise(0)
+        shifted = by_rules(x["s"])
+        if zone in EU_ZONES:
+            summer = (x["s"] >= _switch(x["y"], 3)) & (x["s"] < _switch(x["y"], 10))
+            shifted = F.when(x["y"] >= EU_SINCE, x["s"] + EU_ZONES[zone] * 60 + F.when(summer, 3600).otherwise(0)).otherwise(shifted)
         return F.date_format(F.date_from_unix_date(F.floor(shifted / DAY).cast("int")), "yyyy-MM-dd")
 
     return _let(F.struct(seconds.alias("s"), _year(seconds).alias("y")), day)
@@ -191,7 +211,7 @@ def normalise_times(df: DataFrame, tab: str, row_id: str, fields: dict[str, tupl
         F.struct(F.lit(c).alias("field"), F.lit(kind).alias("kind"), F.lit(zone).cast("string").alias("zone"), F.col(f"`{c}`").cast("string").alias("text"))
         for c, (kind, zone) in fields.items()
     ])
-    rows = df.select(F.col(f"`{row_id}`").alias("row_id"), F.inline(cells)).where("text is not null").distinct()
+    rows = df.select(F.col(f"`{row_id}`").alias("row_id"), F.inline(cells)).where("text is not null")
     timed = with_instants(rows).where("seconds is not null")
     day = F.when(F.col("kind") == "day", F.lit(None).cast("string"))
     for zone in {zone or "UTC" for kind, zone in fields.values() if kind == "day"}:

@@ -36,3 +36,17 @@ def test_rows_repeats_and_days(spark):
     got = {tuple(r) for r in normalise_times(df, "t", "id", {"date": ("day", "Europe/Madrid")}).collect()}
     assert got == {("t", "a", "date", "2023-08-14"), ("t", None, "date", "2024-02-13")}
     assert normalise_times(df.limit(0), "t", "id", {"date": ("day", "Europe/Madrid")}).count() == 0
+
+
+def test_other_zones_and_earlier_years_against_tz_database(spark):
+    """Years before the European rule, and zones outside it, follow their own history."""
+    rnd = random.Random(6)
+    zones = ["Europe/Madrid", "Europe/London", "America/New_York", "America/Argentina/Buenos_Aires", "Asia/Tokyo", "Australia/Sydney"]
+    cases = [(datetime(1950, 1, 1) + timedelta(minutes=rnd.randrange(75 * 365 * 24 * 60)), rnd.choice(zones)) for _ in range(500)]
+    df = spark.createDataFrame([(f"{t:%Y-%m-%d %H:%M:%S} {z}", "Europe/Madrid") for t, z in cases] + [("1978-05-01 10:00:00", "Europe/Madrid"), ("2024-01-01 10:00 Mars/Base", "Europe/Madrid")], "text string, zone string")
+    got = {r.text: r.seconds for r in with_instants(df).collect()}
+    for t, z in cases:
+        assert got[f"{t:%Y-%m-%d %H:%M:%S} {z}"] == int(t.replace(tzinfo=ZoneInfo(z)).astimezone(timezone.utc).timestamp()), (t, z)
+    assert got["1978-05-01 10:00:00"] == int(datetime(1978, 5, 1, 8, tzinfo=timezone.utc).timestamp()) and got["2024-01-01 10:00 Mars/Base"] is None
+    day = normalise_times(spark.createDataFrame([("a", "1978-05-01T22:30:00Z")], "id string, date string"), "t", "id", {"date": ("day", "Europe/Madrid")})
+    assert day.first().norm == "1978-05-02"
