@@ -57,12 +57,23 @@ def body_part(q: Column) -> Column:
     return F.get(F.filter(q, lambda x: F.lower(x["name"]).isin(parts)), F.lit(0))["name"]
 
 
-def minute_label(minute: Column, expanded: Column, period: Column) -> Column:
-    """``45+2'`` in the first half's and ``90+3'`` in the second half's added time, else ``12'``."""
-    shown = F.coalesce(expanded, minute)
-    first, second = F.lower(period).isin("firsthalf", "1"), F.lower(period).isin("secondhalf", "2")
-    added = lambda end: F.concat(F.lit(f"{end}+"), (minute - end + 1).cast("string"), F.lit("'"))
-    return F.when(first & (minute >= 45), added(45)).when(second & (minute >= 90), added(90)).when(shown.isNotNull(), F.concat(F.coalesce(minute, shown).cast("string"), F.lit("'")))
+def minute_label(minute: Column, period: Column, kind: Column | None = None) -> Column:
+    """The minute as it is shown: the running one, counted from 1, and ``45+2'`` or ``90+3'`` in added time.
+
+    ``-`` before and after the match and for negative minutes; the kick-off (``kind`` start) is ``0'``;
+    outside the two halves the minute stays as it is. A missing minute counts as 0.
+    """
+    at, part = F.coalesce(minute, F.lit(0)).cast("int"), F.lower(F.trim(F.coalesce(period, F.lit(""))))
+    text = lambda n: F.concat(n.cast("string"), F.lit("'"))
+    added = lambda end: F.concat(F.lit(f"{end}+"), text(at - (end - 1)))
+    start = F.lower(F.trim(F.coalesce(kind if kind is not None else F.lit(""), F.lit("")))) == "start"
+    return (
+        F.when(start & (part == "firsthalf") & (at == 0), "0'")
+        .when((at < 0) | part.isin("prematch", "postgame"), "-")
+        .when(part == "firsthalf", F.when(at < 45, text(at + 1)).otherwise(added(45)))
+        .when(part == "secondhalf", F.when(at < 90, text(at + 1)).otherwise(added(90)))
+        .otherwise(F.when(at <= 0, "-").otherwise(text(at)))
+    )
 
 
 def clock(minute: Column, expanded: Column, second: Column) -> Column:
@@ -74,30 +85,71 @@ def is_failed(outcome: Column) -> Column:
     return F.coalesce(F.lower(outcome).rlike("unsuccess|fail|incomplete|inaccurate|error"), F.lit(False))
 
 
+#: Types of the events that can be a penalty (fixed values).
+PENALTY_TYPES = ["goal", "savedshot", "missedshots", "shotonpost"]
+
+
 def penalty_kind(kind: Column, qualifier_text: Column, goal: Column) -> Column:
-    """``scored``, ``saved`` or ``missed`` for a penalty, else NULL."""
-    penalty = F.lower(F.coalesce(qualifier_text, F.lit(""))).contains("penalty")
-    low = F.lower(kind)
-    return F.when(penalty & (F.coalesce(goal, F.lit(False)) | (low == "goal")), "scored").when(penalty & low.contains("saved"), "saved").when(penalty & (low.contains("miss") | low.contains("post")), "missed")
+    """``penalty-scored``, ``penalty-saved`` or ``penalty-missed`` of a shot whose qualifiers name a penalty, else NULL."""
+    low = F.lower(F.trim(kind))
+    penalty = low.isin(PENALTY_TYPES) & F.lower(F.coalesce(qualifier_text, F.lit(""))).contains("penalty")
+    return F.when(penalty, F.when(F.coalesce(goal, F.lit(False)) | (low == "goal"), "penalty-scored").when(low == "savedshot", "penalty-saved").otherwise("penalty-missed"))
 
 
 def card_kind(card: Column) -> Column:
+    """``second-yellow-card``, ``red-card`` or, for any other label, ``yellow-card``; NULL without a label."""
     low = F.lower(card)
-    return F.when(low.contains("second"), "second_yellow").when(low.contains("red"), "red").when(low.contains("yellow"), "yellow")
+    return F.when(low.rlike("second|segunda"), "second-yellow-card").when(low.rlike("red|roja"), "red-card").when(card.isNotNull(), "yellow-card")
+
+
+def result_label(code: Column, home: Column, away: Column) -> Column:
+    """Who won by a result code or word; other text as it is, ``-`` for none."""
+    text = F.trim(F.coalesce(code, F.lit("")))
+    key, won = F.upper(text), lambda team: F.concat(F.lit("Gana "), team)
+    return F.when(key.isin("H", "HOME", "LOCAL"), won(home)).when(key.isin("A", "AWAY", "VISITANTE"), won(away)).when(key.isin("D", "DRAW", "EMPATE"), "Empate").when(text != "", text).otherwise("-")
+
+
+#: Statuses of a participation that did not happen, in both spellings (fixed values).
+UNAVAILABLE = ["no disponible", "no_disponible", "no convocado", "no_convocado"]
+UNUSED = ["no jugado", "no_jugado"]
 
 
-def result_label(code: Column) -> Column:
-    low = F.lower(F.trim(code))
-    return F.when(low.isin("h", "home"), "Home win").when(low.isin("a", "away"), "Away win").when(low.isin("d", "draw"), "Draw")
+def came_on(minutes: Column, appearances: Column, sub_in: Column) -> Column:
+    """Whether a substitute took part: minutes, an appearance, or a minute of coming on that is not the start."""
+    entered = ~F.lower(F.trim(F.coalesce(sub_in, F.lit("")))).isin("", "start")
+    return (F.coalesce(minutes, F.lit(0)) > 0) | (F.coalesce(appearances, F.lit(0)) > 0) | entered
 
 
 def participation_class(status: Column, minutes: Column, appearances: Column, sub_in: Column) -> Column:
-    """``starter``, ``substitute``, ``unused`` or ``unavailable``."""
-    low = F.lower(F.trim(status))
-    played = (F.coalesce(minutes, F.lit(0)) > 0) | (F.coalesce(appearances, F.lit(0)) > 0)
-    return F.when(low == "titular", "starter").when(low.isin("no disponible", "no convocado"), "unavailable").when(
-        (low == "suplente") & (played | sub_in.isNotNull()), "substitute"
-    ).when(low.isin("suplente", "no jugado"), "unused").when(played, F.when(F.lower(sub_in) == "start", "starter").otherwise("substitute"))
+    """``starter``, ``bench``, ``unused`` or ``unavailable``; ``all`` where the status says none of them."""
+    low = F.lower(F.trim(F.coalesce(status, F.lit(""))))
+    return (
+        F.when(low == "titular", "starter")
+        .when(low.isin(UNAVAILABLE), "unavailable")
+        .when(low.isin(UNUSED), "unused")
+        .when(low == "suplente", F.when(came_on(minutes, appearances, sub_in), "bench").otherwise("unused"))
+        .otherwise("all")
+    )
+
+
+def took_part(status: Column, minutes: Column, appearances: Column, sub_in: Column) -> Column:
+    """Whether a player's metrics are shown: not for the unused and unavailable."""
+    low = F.lower(F.trim(F.coalesce(status, F.lit(""))))
+    return ~low.isin(UNAVAILABLE + UNUSED) & ((low != "suplente") | came_on(minutes, appearances, sub_in))
+
+
+def lineup_status(sub_in: Column, appearances: Column) -> Column:
+    """Status from a line-up row: ``titular`` from the start, ``suplente`` if used later, else ``no jugado``."""
+    entered = F.lower(F.trim(F.coalesce(sub_in, F.lit(""))))
+    used = (F.coalesce(appearances, F.lit(0)) > 0) | ~entered.isin("", "start")
+    return F.when(entered == "start", "titular").when(used, "suplente").otherwise("no jugado")
+
+
+def is_abandoned(started: Column, first_half_ended: Column, second_half_started: Column, elapsed: Column, period: Column, home: Column, away: Column) -> Column:
+    """Whether a match with a score stopped in its first half: begun, that half ended, no second, yet over in period 0."""
+    there = lambda c: F.coalesce(~F.lower(F.trim(c.cast("string"))).isin("", "nan", "<na>"), F.lit(False))
+    over = (F.upper(F.trim(elapsed.cast("string"))) == "FT") & (F.trim(period.cast("string")) == "0")
+    return there(started) & there(first_half_ended) & ~there(second_half_started) & F.coalesce(over, F.lit(False)) & there(home) & there(away)
 
 
 def pitch_point(x: Column, y: Column, flip: Column) -> Column:
@@ -107,9 +159,17 @@ def pitch_point(x: Column, y: Column, flip: Column) -> Column:
     return F.struct(turned(x).alias("x"), turned(y).alias("y"))
 
 
-def timeline_left(at: Column, begin: Column, end: Column) -> Column:
-    """Place of a time between two ends in percent, kept between 1 and 99."""
-    return F.least(F.greatest((at - begin) / F.when(end > begin, end - begin) * 100, F.lit(1.0)), F.lit(99.0))
+def timeline_left(minute: Column, period: Column, first_end: Column, second_end: Column) -> Column:
+    """Place on the timeline in percent: the first half fills 0 to 49.5, the second 50.5 to 100.
+
+    ``first_end`` and ``second_end`` are the halves' last minutes, 45 and 90 at least; other periods lie on
+    90 minutes over the whole width. A missing minute counts as 0.
+    """
+    at, part = F.coalesce(minute, F.lit(0)).cast("double"), F.lower(F.trim(F.coalesce(period, F.lit(""))))
+    first = F.least(F.greatest(at / F.greatest(first_end, F.lit(45.0)) * 50, F.lit(0.0)), F.lit(49.5))
+    played, length = F.greatest(at - 45, F.lit(0.0)), F.greatest(F.greatest(second_end, F.lit(90.0)) - 45, F.lit(45.0))
+    second = F.greatest(F.least(50 + played / length * 50, F.lit(100.0)), F.lit(50.5))
+    return F.when(part == "firsthalf", first).when(part == "secondhalf", second).otherwise(F.least(F.greatest(at / 90 * 100, F.lit(0.0)), F.lit(100.0)))
 
 
 def lanes(events: DataFrame, group: list[str], left: str, order: list[str], number: int = 5, gap: float = 6.0) -> DataFrame:

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters that Unicode does not decompose, with their plain spelling (fixed values).
-LETTERS = {"ø": "o", "Ø": "O", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ı": "i"}
+LETTERS = {"ø": "o", "Ø": "O", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ı": "i"}
 #: Texts that stand for a missing value (fixed values).
 MISSING = ["", "nan", "<na>", "none", "null"]
 #: Signs an identifier does not keep (fixed values).
-DROPPED = ".,;:!?'\"`´’()[]{}/\\&+*#%@"
+DROPPED = "/<>.,:;()'\"?¿!¡[]{}&#@+*=\\|‚"
+#: Letters an identifier spells plainly before marks are taken off (fixed values).
+SPELLED = {"ø": "o", "Ø": "O", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "ß": "ss"}
 
 
 def _folding_table() -> tuple[str, str]:
     """Latin letters with marks and the letter they are built on, from the Unicode data itself."""
     source, target = [], []
-    for code in range(0xC0, 0x250):
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
         letter = chr(code)
         base = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
-        if len(base) == 1 and base != letter and base.isascii():
+        if len(base) == 1 and base != letter and base.isascii() and base.isalnum():
             source.append(letter)
             target.append(base)
     return "".join(source), "".join(target)
@@ -55,10 +57,16 @@ def redecoded(text: Column) -> Column:
 
 
 def identifier(text: Column, keep_hyphen: bool = False) -> Column:
-    """A value as an id: plain letters, words joined by ``_``; case stays; NULL stays NULL."""
-    plain = F.translate(without_accents(redecoded(text)), DROPPED, "")
-    joined = F.regexp_replace(plain, r"\s+" if keep_hyphen else r"[\s-]+", "_")
-    return F.regexp_replace(F.regexp_replace(joined, "_{2,}", "_"), "^_+|_+$", "")
+    """A value as an id: plain letters, words joined by ``_``; case stays; NULL stays NULL.
+
+    UTF-8 that was read as Latin-1 is read again first; ``đ`` and ``ı`` stay, as Unicode has no plain form of them.
+    """
+    plain = redecoded(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    for letter, spelled in SPELLED.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(spelled))
+    plain = F.translate(F.regexp_replace(plain, r"\p{M}+", ""), _FROM, _TO)
+    joined = F.translate(plain, " \u00a0" if keep_hyphen else " \u00a0-", "__" if keep_hyphen else "___")
+    return F.regexp_replace(F.regexp_replace(F.translate(joined, DROPPED, ""), "_{2,}", "_"), "^_+|_+$", "")
 
 
 def clean_text(text: Column) -> Column:
@@ -68,16 +76,15 @@ def clean_text(text: Column) -> Column:
 
 
 def season_id(text: Column) -> Column:
-    """``2324`` and ``2023/24`` as ``2023-2024``; every four digits are two years of two digits."""
-    bare = F.trim(text.cast("string"))
-    short = F.concat(F.lit("20"), F.substring(bare, 1, 2), F.lit("-20"), F.substring(bare, 3, 2))
-    long = F.regexp_replace(bare, r"^(\d{2})(\d{2})\s*[-/]\s*(?:\d{2})?(\d{2})$", "$1$2-$1$3")
-    return F.when(bare.rlike(r"^\d{4}$"), short).otherwise(long)
+    """``2324`` as ``2023-2024``, as every four digits are two years of two digits; ``/`` and ``_`` become ``-``."""
+    bare = F.translate(F.trim(text.cast("string")), "/_", "--")
+    years = F.concat(F.lit("20"), F.substring(bare, 1, 2), F.lit("-20"), F.substring(bare, 3, 2))
+    return F.when(bare.rlike(r"^\d{4}$"), years).otherwise(bare)
 
 
 def season_label(season: Column) -> Column:
-    """``2023-2024`` as ``2023/24``; other text as it is."""
-    return F.regexp_replace(season, r"^(\d{4})-\d{2}(\d{2})$", "$1/$2")
+    """What a season is shown as: its id, ``2023-2024``."""
+    return season_id(season)
 
 
 def competition_id(league: Column) -> Column:
@@ -86,7 +93,7 @@ def competition_id(league: Column) -> Column:
 
 def competition_name(league: Column) -> Column:
     """The display name without a three-letter country code in front."""
-    return F.regexp_replace(league, r"^[A-Za-z]{3}-(?=.)", "")
+    return F.trim(F.regexp_replace(F.trim(league), r"^\p{L}{3}-(?=.)", ""))
 
 
 def source_id(value: Column) -> Column:
@@ -105,7 +112,7 @@ def strict_source_id(value: Column) -> Column:
 def boolean(value: Column) -> Column:
     """True, false or NULL of a text."""
     bare = F.lower(clean_text(value))
-    return F.when(bare.isin("true", "1", "1.0", "yes", "y", "si", "sí"), True).when(bare.isin("false", "0", "0.0", "no", "n"), False)
+    return F.when(bare.isin("true", "1", "yes"), True).when(bare.isin("false", "0", "no"), False)
 
 
 def number(value: Column) -> Column:
@@ -125,25 +132,42 @@ def date_part(value: Column) -> Column:
     return F.when(iso != "", iso).otherwise(F.date_format(value.cast("string").try_cast("timestamp"), "yyyy-MM-dd"))
 
 
-def game_parts(game: Column) -> Column:
-    """Struct (date, home, away) of ``2025-02-08 Home-Away``; the first of `` - ``, ``-``, `` vs ``, `` v `` divides."""
-    day = F.regexp_extract(game, r"^\s*(\d{4}-\d{2}-\d{2})", 1)
-    rest = F.trim(F.regexp_replace(game, r"^\s*\d{4}-\d{2}-\d{2}\s*", ""))
+#: What divides the teams of a game, in the order of trial (fixed values).
+VERSUS = [" - ", "-", " vs ", " v "]
+_GAME = r"^\s*(\d{4}-\d{2}-\d{2})\s+(\S.*?)\s*$"
+
+
+def _divided(rest: Column) -> tuple[Column, Column]:
     home, away = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for sign in (" v ", " vs ", "-", " - "):
-        parts = F.split(rest, sign.replace("|", r"\|"), 2)
-        home = F.when(F.contains(rest, F.lit(sign)), F.trim(F.get(parts, F.lit(0)))).otherwise(home)
-        away = F.when(F.contains(rest, F.lit(sign)), F.trim(F.get(parts, F.lit(1)))).otherwise(away)
+    for sign in reversed(VERSUS):
+        held, parts = F.contains(rest, F.lit(sign)), F.split(rest, sign, 2)
+        home = F.when(held, F.trim(F.get(parts, F.lit(0)))).otherwise(home)
+        away = F.when(held, F.trim(F.get(parts, F.lit(1)))).otherwise(away)
+    return home, away
+
+
+def game_parts(game: Column) -> Column:
+    """Struct (date, home, away) of ``2025-02-08 Home-Away``; the first of :data:`VERSUS` it holds divides.
+
+    Text that does not begin with a day has no parts at all.
+    """
+    day, rest = F.regexp_extract(game, _GAME, 1), F.regexp_extract(game, _GAME, 2)
+    home, away = _divided(F.when(day != "", rest))
     return F.struct(F.when(day != "", day).alias("date"), home.alias("home"), away.alias("away"))
 
 
 def game_parts_for(game: Column, home: Column) -> Column:
-    """Like :func:`game_parts` where the home team is known, so that hyphens in its name do not divide."""
-    rest = F.trim(F.regexp_replace(game, r"^\s*\d{4}-\d{2}-\d{2}\s*", ""))
-    known = F.startswith(rest, home) & (F.length(home) > 0)
-    behind = F.regexp_replace(F.substring(rest, F.length(home) + 1, F.length(rest)), r"^\s*(?:-|vs?\s)\s*", "")
-    own = game_parts(game)
-    return F.struct(own["date"].alias("date"), F.when(known, home).otherwise(own["home"]).alias("home"), F.when(known, F.trim(behind)).otherwise(own["away"]).alias("away"))
+    """Like :func:`game_parts` where the home team is known, so that hyphens in its name do not divide.
+
+    The text behind the home team must begin with one of :data:`VERSUS` and name an away team; else the plain rule holds.
+    """
+    own, rest, known = game_parts(game), F.regexp_extract(game, _GAME, 2), F.trim(home)
+    behind = F.substring(rest, F.length(known) + 1, F.length(rest))
+    away = F.lit(None).cast("string")
+    for sign in reversed(VERSUS):
+        away = F.when(F.startswith(behind, F.lit(sign)), F.trim(F.substring(behind, F.lit(len(sign) + 1), F.length(rest)))).otherwise(away)
+    fits = own["date"].isNotNull() & (F.length(known) > 0) & F.startswith(rest, known) & (F.length(away) > 0)
+    return F.struct(own["date"].alias("date"), F.when(fits, known).otherwise(own["home"]).alias("home"), F.when(fits, away).otherwise(own["away"]).alias("away"))
 
 
 def key_of(*parts: Column) -> Column:
@@ -169,10 +193,20 @@ def name_tokens(alias: Column, particles: list[str] | None = None) -> Column:
     return F.filter(words, lambda t: ~t.isin(particles)) if particles else words
 
 
-def is_abbreviated(alias: Column) -> Column:
-    """Whether a word of a name of several is an initial."""
-    words = name_tokens(alias)
-    return (F.size(words) > 1) & F.exists(words, lambda t: F.length(F.replace(t, F.lit("."), F.lit(""))) == 1)
+def is_abbreviated(name: Column) -> Column:
+    """Whether a name holds an abbreviation: a capital with a dot, or a last word of three letters at most with one; blank counts as one."""
+    bare = F.trim(F.coalesce(name, F.lit("")))
+    return (bare == "") | bare.rlike(r"(?U)(?:\b|^)\p{Lu}\.\s+") | bare.rlike(r"^\p{Lu}\.\s*\S+") | bare.rlike(r"(?U)\b\w{1,3}\.\s*$")
+
+
+def is_expanded(name: Column) -> Column:
+    """Whether a name has two words or more and no abbreviation."""
+    return (F.size(name_tokens(F.lower(identifier(F.coalesce(name, F.lit("")))))) >= 2) & ~is_abbreviated(name)
+
+
+def is_poor_name(name: Column, ambiguous: Column) -> Column:
+    """Whether a name is no good to show: abbreviated, or one word that is ambiguous (``ambiguous`` says of the word)."""
+    return is_abbreviated(name) | ((F.size(name_tokens(F.lower(identifier(name)))) == 1) & F.coalesce(ambiguous, F.lit(False)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -225,5 +259,7 @@ def first_present(*values: Column) -> Column:
 
 def canonical_team(df: DataFrame, team: str, aliases: DataFrame, out: str) -> DataFrame:
     """``df`` with the canonical name of a team by its aliases (alias, canonical); unknown teams keep theirs."""
+    from pitchgrid.operators.lookup import small
+
     table = aliases.select(F.lower(identifier(F.col("alias"))).alias("_k"), F.col("canonical").alias("_c")).dropDuplicates(["_k"])
-    return df.withColumn("_k", F.lower(identifier(F.col(team)))).join(F.broadcast(table), "_k", "left").withColumn(out, F.coalesce("_c", team)).drop("_k", "_c")
+    return df.withColumn("_k", F.lower(identifier(F.col(team)))).join(small(table), "_k", "left").withColumn(out, F.coalesce("_c", team)).drop("_k", "_c")

@@ -5,46 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.functions.text import label_key
+from pitchgrid.functions.text import identifier, without_accents
 from pitchgrid.operators.dedup import joined_values, keep_first, mode_of, single_valued
 from pitchgrid.operators.spatial import near_groups
 
-#: Words that say a name is a ground's (fixed values).
-GROUND_WORDS = ["stadium", "estadio", "stade", "stadio", "stadion", "arena", "park", "ground", "campo"]
-#: Countries of the competitions by the code in front of their ids (fixed values).
-COUNTRIES = {"ENG": "England", "ESP": "Spain", "FRA": "France", "GER": "Germany", "ITA": "Italy"}
+#: Words in front of and behind a ground's name that its lookup keys leave out (fixed values).
+GROUND_FRONT, GROUND_BACK = ["estadio_", "estadi_", "stadium_", "stade_", "stadio_"], ["_football_stadium", "_stadium"]
+#: Beginnings of a name to which no ground word is added (fixed values).
+GROUND_NAMED = ["estadio", "estadi", "stadium", "el "]
+#: Country and its code of each competition (fixed values).
+COUNTRIES = {"ESP-La_Liga": ("Spain", "es"), "ENG-Premier_League": ("United Kingdom", "gb"), "FRA-Ligue_1": ("France", "fr"), "GER-Bundesliga": ("Germany", "de"), "ITA-Serie_A": ("Italy", "it")}
 REQUIRED = ["name", "city", "country", "latitude", "longitude"]
 
 
-def competition_country(competition: Column) -> Column:
-    """Country of a competition by the code its id begins with, else NULL."""
-    code = F.substring(competition, 1, 3)
-    out = F.lit(None).cast("string")
-    for key, name in COUNTRIES.items():
-        out = F.when(code == key, name).otherwise(out)
+def _of_competition(competition: Column, part: int) -> Column:
+    out = F.lit("")
+    for key, values in COUNTRIES.items():
+        out = F.when(competition == key, values[part]).otherwise(out)
     return out
 
 
+def competition_country(competition: Column) -> Column:
+    """Country of a competition's id, empty where it is none of :data:`COUNTRIES`."""
+    return _of_competition(competition, 0)
+
+
+def competition_country_code(competition: Column) -> Column:
+    """Two-letter code of a competition's country, empty where it is none of :data:`COUNTRIES`."""
+    return _of_competition(competition, 1)
+
+
+def _once(texts: Column) -> Column:
+    """An array without texts that differ from an earlier one in case only."""
+    low = F.transform(texts, lambda t: F.lower(t))
+    return F.filter(texts, lambda t, i: (F.array_position(low, F.lower(t)) == i + 1) & (t != ""))
+
+
 def query_variants(name: Column) -> Column:
-    """The name, then what is left of it without its first words (a sponsor's), longest first; each once."""
-    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
-    tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
-    return F.array_distinct(F.filter(tails, lambda t: F.length(t) > 2))
+    """Texts to look a ground up by: its name, what is left of a name of three words or more without its first
+    ones (a sponsor's), longest first, and each of them with ground words added.
+
+    A last word of fewer than 8 letters is no name. Texts that differ in case only come once.
+    """
+    whole = F.trim(F.coalesce(name, F.lit("")))
+    words = F.filter(F.split(F.translate(whole, "-", " "), r"\s+"), lambda w: w != "")
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
+    kept = F.when(F.size(words) >= 3, F.filter(tails, lambda t: F.contains(t, F.lit(" ")) | (F.length(t) >= 8))).otherwise(F.array().cast("array<string>"))
+    bases = _once(F.concat(F.array(whole), kept))
+    plain = F.filter(bases, lambda t: ~F.lower(t).rlike("^(?:" + "|".join(GROUND_NAMED) + ")"))
+    forms = F.flatten(F.transform(plain, lambda t: F.array(F.concat(F.lit("Estadio "), t), F.concat(t, F.lit(" stadium")), F.concat(t, F.lit(" football stadium")))))
+    return _once(F.concat(bases, forms))
 
 
 def lookup_keys(name: Column) -> Column:
-    """Comparison keys of a name: the whole, and without ground words in front or behind."""
-    key = label_key(name)
-    ground = "|".join(GROUND_WORDS)
-    bare = F.trim(F.regexp_replace(key, rf"^(?:(?:{ground})\s+)+|(?:\s+(?:{ground}))+$", ""))
-    return F.array_distinct(F.filter(F.array(key, bare), lambda k: k != ""))
+    """Comparison keys of a name: its slug, and that without a ground word in front or behind, each by itself."""
+    key = F.lower(identifier(F.coalesce(name, F.lit(""))))
+    cut = [F.when(F.startswith(key, F.lit(w)), F.substring(key, F.lit(len(w) + 1), F.length(key))) for w in GROUND_FRONT]
+    cut += [F.when(F.endswith(key, F.lit(w)), F.substring(key, F.lit(1), F.length(key) - len(w))) for w in GROUND_BACK]
+    return F.array_distinct(F.filter(F.transform(F.array(key, *cut), lambda k: F.regexp_replace(k, "^_+|_+$", "")), lambda k: F.coalesce(k != "", F.lit(False))))
 
 
 def country_penalty(country: Column, code: Column, wanted: Column, wanted_code: Column) -> Column:
-    """0 for the wanted country by name or code, 1 where it is unknown, 2 for another."""
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    same = F.coalesce(label_key(country) == label_key(wanted), F.lit(False)) | F.coalesce(F.lower(code) == F.lower(wanted_code), F.lit(False))
-    return F.when(same, 0).when((blank(country) & blank(code)) | (blank(wanted) & blank(wanted_code)), 1).otherwise(2)
+    """0 for the wanted country, 1 where the country is unknown, 2 for another; 0 where no country is wanted.
+
+    Where both codes are known they alone decide.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.translate(without_accents(F.lower(F.coalesce(c, F.lit("")))), "_", " "), r"\s+", " "))
+    short = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    coded = (short(code) != "") & (short(wanted_code) != "")
+    by_name = F.when(plain(country) == plain(wanted), 0).when(plain(country) == "", 1).otherwise(2)
+    return F.when(plain(wanted) == "", 0).when(coded, F.when(short(code) == short(wanted_code), 0).otherwise(2)).otherwise(by_name)
 
 
 def country_hints(venues: DataFrame) -> DataFrame:

@@ -48,5 +48,5 @@ def test_canonical_tables(spark):
     assert {tuple(r) for r in teams.collect()} == {("a", "A", "X"), ("b", "B", None)}
     p = C.clear_unavailable(spark.createDataFrame([("no convocado", 3), ("titular", 4), (None, 5)], "participationStatus string, minutes int"), ["minutes"])
     assert {tuple(r) for r in p.collect()} == {("no disponible", None), ("titular", 4), (None, 5)}
-    assert {r.name for r in C.seasons(spark.createDataFrame([("2324", "7")], "season string, season_id string")).collect()} == {"2023/24"}
+    assert {r.name for r in C.seasons(spark.createDataFrame([("2324", "7")], "season string, season_id string")).collect()} == {"2023-2024"}
     assert C.competitions(spark.createDataFrame([("ESP-La Liga", "7.0")], "league string, league_id string")).first().idUnderstat == "7"

@@ -8,25 +8,30 @@ from pitchgrid.plans import tasks as K
 
 def test_venue_rules(spark):
     one = lambda c: spark.range(1).select(c.alias("c")).first().c
-    assert one(V.query_variants(F.lit("Sponsor Name Longarena")))[:3] == ["Sponsor Name Longarena", "Name Longarena", "Longarena"]
+    assert one(V.query_variants(F.lit("Sponsor Name Longarena"))) == [
+        "Sponsor Name Longarena", "Name Longarena", "Longarena", "Estadio Sponsor Name Longarena", "Sponsor Name Longarena stadium", "Sponsor Name Longarena football stadium",
+        "Estadio Name Longarena", "Name Longarena stadium", "Name Longarena football stadium", "Estadio Longarena", "Longarena stadium", "Longarena football stadium",
+    ]
+    assert one(V.query_variants(F.lit("Big Red Park"))) == ["Big Red Park", "Red Park", "Estadio Big Red Park", "Big Red Park stadium", "Big Red Park football stadium", "Estadio Red Park", "Red Park stadium", "Red Park football stadium"]
+    assert one(V.query_variants(F.lit("Estadio Brexi"))) == ["Estadio Brexi"] and one(V.query_variants(F.lit(None).cast("string"))) == []
     pen = lambda *x: one(V.country_penalty(*[F.lit(v).cast("string") for v in x]))
-    assert (pen("España", "es", "Spain", "es"), pen("España", None, "Spain", None), pen(None, None, "Spain", None)) == (0, 2, 1)
-    assert one(V.lookup_keys(F.lit("Estadio Nuevo"))) == ["estadio nuevo", "nuevo"]
-    assert one(V.competition_country(F.lit("ESP-La_Liga"))) == "Spain"
+    assert (pen("Türkiye", "tr", "Turkey", "TR"), pen("Türkiye", None, "Turkey", None), pen(None, None, "Turkey", None), pen("Turkey", "tr", "Turkey", "gr"), pen("Perú", "", "peru", ""), pen("X", "x", None, "tr")) == (0, 2, 1, 2, 0, 0)
+    assert one(V.lookup_keys(F.lit("Estadio Brexi Stadium"))) == ["estadio_brexi_stadium", "brexi_stadium", "estadio_brexi"] and one(V.lookup_keys(F.lit(" "))) == []
+    assert one(V.competition_country(F.lit("ENG-Premier_League"))) == "United Kingdom" and one(V.competition_country_code(F.lit("ITA-Serie_A"))) == "it" and one(V.competition_country(F.lit("ESP-Other"))) == ""
     uses = spark.createDataFrame([("v", "A"), ("v", "A"), ("v", "B")], "venue string, home_team string")
     assert V.home_of(uses).first().home_team == "A"
 
 
 def test_choose_resolve_group(spark):
-    cand = spark.createDataFrame([("Nuevo Arena", "Palace", "Spain", "Spain", False, 1, 1), ("Nuevo Arena", "Estadio Nuevo", "Spain", "Spain", True, 2, 2), ("Lost", "Hotel", "Spain", "Spain", False, 1, 1)], "venue string, name string, country string, country_hint string, is_stadium boolean, candidate_rank int, search_rank int")
-    assert [(r.venue, r.name) for r in V.choose(cand).collect()] == [("Nuevo Arena", "Estadio Nuevo")]
+    cand = spark.createDataFrame([("Brexi Arena", "Palace", "Spain", "Spain", False, 1, 1), ("Brexi Arena", "Estadio Brexi", "Spain", "Spain", True, 2, 2), ("Lost", "Hotel", "Spain", "Spain", False, 1, 1)], "venue string, name string, country string, country_hint string, is_stadium boolean, candidate_rank int, search_rank int")
+    assert [(r.venue, r.name) for r in V.choose(cand).collect()] == [("Brexi Arena", "Estadio Brexi")]
     schema = "venue string, step int, name string, city string, country string, latitude double, longitude double, idWikidata string"
-    steps = spark.createDataFrame([("Sponsor Stadium", 1, "Canonical Stadium", None, "X", 1.0, 1.0, "Q1"), ("Sponsor Stadium", 2, "Canonical Stadium", "C", "X", 1.0, 1.0, "Q1"), ("Historic Ground", 1, "Canonical Stadium", "C", "X", 5.0, 5.0, "Q1"), ("Else", 1, "Else", " ", "X", 9.0, 9.0, None)], schema)
+    steps = spark.createDataFrame([("Tecnova Stadium", 1, "Wavojem Road", None, "X", 1.0, 1.0, "Q1"), ("Tecnova Stadium", 2, "Wavojem Road", "C", "X", 1.0, 1.0, "Q1"), ("Old Wavojem", 1, "Wavojem Road", "C", "X", 5.0, 5.0, "Q1"), ("Else", 1, "Else", " ", "X", 9.0, 9.0, None)], schema)
     got = V.resolve(steps)
-    assert {r.venue: (r.step, r.status) for r in got.collect()} == {"Sponsor Stadium": (2, "resolved"), "Historic Ground": (1, "resolved"), "Else": (1, "missing_required_fields:city")}
-    uses = spark.createDataFrame([("Sponsor Stadium", "A")] * 3 + [("Historic Ground", "A")], "venue string, home_team string")
+    assert {r.venue: (r.step, r.status) for r in got.collect()} == {"Tecnova Stadium": (2, "resolved"), "Old Wavojem": (1, "resolved"), "Else": (1, "missing_required_fields:city")}
+    uses = spark.createDataFrame([("Tecnova Stadium", "A")] * 3 + [("Old Wavojem", "A")], "venue string, home_team string")
     rows = V.grouped(got.where("status = 'resolved'"), uses).collect()
-    assert [(r.name, r.venue_name) for r in rows] == [("Canonical Stadium", "Sponsor Stadium | Historic Ground")]
+    assert [(r.name, r.venue_name) for r in rows] == [("Wavojem Road", "Tecnova Stadium | Old Wavojem")]
 
 
 def test_tasks():
