@@ -85,7 +85,7 @@ def precipitation_text(rain: Column, precipitation: Column) -> Column:
 
 def weather_summary(temperature: Column, rain: Column, precipitation: Column) -> Column:
     """Temperature and rain, ``-`` without either."""
-    degrees = F.when(~F.isnan(temperature.cast("double")), format_number(temperature, 1, " C"))
+    degrees = F.when(temperature.isNotNull() & ~F.isnan(temperature.cast("double")), format_number(temperature, 1, " C"))
     shown = F.concat_ws(" | ", degrees, F.when(precipitation_text(rain, precipitation) != "", precipitation_text(rain, precipitation)))
     return F.when(shown != "", shown).otherwise("-")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchgrid.functions.events import body_part, card_kind, clock, has_qualifier, is_failed, lanes, participation_class, pitch_point, qualifiers, timeline_left
+from pitchgrid.functions.events import body_part, card_kind, clock, has_qualifier, is_failed, participation_class, pitch_point, qualifiers
 from pitchgrid.functions.text import label_key, ratio, role_set
 from pitchgrid.operators.graph import merged, ntriples, triples
 from pitchgrid.operators.orphans import bare
@@ -43,22 +43,29 @@ def query(sql: str = ""):
     return register
 
 
-def matches(spark: SparkSession, d: str) -> DataFrame:
-    """Played matches, exact copies once; the day is the one in the id."""
+def matches(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Played matches, exact copies once; the day is the one in the id; ``more`` names further columns."""
     m = table(spark, d, "matches").where(F.lower(F.trim(F.coalesce("matchStatus", F.lit("")))) != "abandoned")
     return m.select(
         "id_match", "id_competition", "id_season", F.col("id_home_team").alias("home"), F.col("id_away_team").alias("away"), "name", "matchDay", "homeScore", "awayScore", "attendance", "matchStatus",
-        F.regexp_extract("id_match", r"_(\d{4}-\d{2}-\d{2})_", 1).alias("day"),
+        F.regexp_extract("id_match", r"_(\d{4}-\d{2}-\d{2})_", 1).alias("day"), *more,
     ).distinct()
 
 
-def participations(spark: SparkSession, d: str) -> DataFrame:
-    """Participations, exact copies once, references without surrounding space."""
-    return table(spark, d, "player_match_participation").distinct().withColumns({"id_match": F.trim("id_match"), "id_player": F.trim("id_player")})
+def participations(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The named columns of the participations, exact copies once, references without surrounding space.
 
+    Only the row's own id and those columns are read and shuffled; a row's copies share all of them.
+    """
+    rows = table(spark, d, "player_match_participation").select("id_playerMatchParticipation", *columns).distinct()
+    return rows.withColumns({c: F.trim(c) for c in ("id_match", "id_player") if c in columns}).drop("id_playerMatchParticipation")
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "build_events").distinct()
+
+def events(spark: SparkSession, d: str, *columns: str, where: str | None = None) -> DataFrame:
+    """The named columns of the events, exact copies once; ``where`` is applied before anything is shuffled."""
+    rows = table(spark, d, "build_events")
+    rows = rows.where(where) if where else rows
+    return rows.select(*dict.fromkeys(["id_event", *columns])).distinct()
 
 
 def sides(m: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def home_kpis(spark: SparkSession, d: str) -> DataFrame:
     h, a = F.col("homeScore"), F.col("awayScore")
     one = m.agg(F.count("*").alias("matches"), F.coalesce(F.sum(h + a), F.lit(0)).alias("goals"), won(h > a).alias("home_wins"), won(h == a).alias("draws"), won(h < a).alias("away_wins"))
     teams = m.select(F.explode(F.array("home", "away")).alias("t")).agg(F.countDistinct("t").alias("teams"))
-    players = participations(spark, d).agg(F.countDistinct(F.when(F.col("id_player") != "", F.col("id_player"))).alias("players"), _total("yellowCards").alias("yellow"), _total("redCards").alias("red"))
+    players = participations(spark, d, "id_player", "yellowCards", "redCards").agg(F.countDistinct(F.when(F.col("id_player") != "", F.col("id_player"))).alias("players"), _total("yellowCards").alias("yellow"), _total("redCards").alias("red"))
     return one.join(F.broadcast(teams)).join(F.broadcast(players))  # three rows
 
 
@@ -112,7 +119,7 @@ def standings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaders(spark: SparkSession, d: str, c: str) -> DataFrame:
-    per = participations(spark, d).where("id_player <> ''").groupBy("id_player").agg(F.sum(c).alias("total"), F.countDistinct("id_match").alias("matches"))
+    per = participations(spark, d, "id_player", "id_match", c).where("id_player <> ''").groupBy("id_player").agg(F.sum(c).alias("total"), F.countDistinct("id_match").alias("matches"))
     return per.where("total > 0").orderBy(F.desc("total"), "id_player").limit(20)
 
 
@@ -156,15 +163,14 @@ def team_match_stats(p: DataFrame) -> DataFrame:
 
 @query(f"SELECT id_match, id_team, {_SUMS}, round(sum(xg) FILTER (NOT isnan(xg)), 4) AS xg FROM p WHERE id_match <> '' GROUP BY id_match, id_team")
 def match_team_stats(spark: SparkSession, d: str) -> DataFrame:
-    return team_match_stats(participations(spark, d))
+    return team_match_stats(participations(spark, d, "id_match", "id_team", *COUNTERS, "xg"))
 
 
-@query("""SELECT id_match, id_player, class, minutes FROM (SELECT id_match, id_player, coalesce(minutes, 0) AS minutes, CASE WHEN lower(trim(participationStatus)) = 'titular' THEN 'starter' WHEN lower(trim(participationStatus)) IN ('no disponible', 'no convocado') THEN 'unavailable'
-WHEN lower(trim(participationStatus)) = 'suplente' AND (coalesce(minutes, 0) > 0 OR coalesce(appearances, 0) > 0 OR subIn IS NOT NULL) THEN 'substitute' WHEN lower(trim(participationStatus)) IN ('suplente', 'no jugado') THEN 'unused'
-WHEN coalesce(minutes, 0) > 0 OR coalesce(appearances, 0) > 0 THEN CASE WHEN lower(subIn) = 'start' THEN 'starter' ELSE 'substitute' END END AS class FROM p)""")
+@query("""SELECT id_match, id_player, coalesce(minutes, 0) AS minutes, CASE WHEN st = 'titular' THEN 'starter' WHEN st IN ('no disponible', 'no_disponible', 'no convocado', 'no_convocado') THEN 'unavailable' WHEN st IN ('no jugado', 'no_jugado') THEN 'unused'
+WHEN st = 'suplente' AND (coalesce(minutes, 0) > 0 OR coalesce(appearances, 0) > 0 OR (si <> '' AND si <> 'start')) THEN 'bench' WHEN st = 'suplente' THEN 'unused' ELSE 'all' END AS class FROM (SELECT *, lower(trim(coalesce(participationStatus, ''))) AS st, lower(trim(coalesce(subIn, ''))) AS si FROM p)""")
 def participation_classes(spark: SparkSession, d: str) -> DataFrame:
     kind = participation_class(F.col("participationStatus"), F.col("minutes"), F.col("appearances"), F.col("subIn"))
-    return participations(spark, d).select("id_match", "id_player", kind.alias("class"), F.coalesce("minutes", F.lit(0)).alias("minutes"))
+    return participations(spark, d, "id_match", "id_player", "participationStatus", "minutes", "appearances", "subIn").select("id_match", "id_player", kind.alias("class"), F.coalesce("minutes", F.lit(0)).alias("minutes"))
 
 
 _PER90 = ["totalGoals", "goalAssists", "totalShots", "keyPasses", "foulsCommitted"]
@@ -172,7 +178,7 @@ _PER90 = ["totalGoals", "goalAssists", "totalShots", "keyPasses", "foulsCommitte
 
 @query("SELECT id_player, coalesce(sum(minutes), 0) AS minutes, " + ", ".join(f"CASE WHEN sum(minutes) > 0 THEN round(90.0::double * coalesce(sum({c}), 0) / sum(minutes), 6) END AS {c}_per90" for c in _PER90) + ", CASE WHEN sum(totalShots) > 0 THEN round(100.0::double * coalesce(sum(shotsOnTarget), 0) / sum(totalShots), 6) END AS accuracy FROM p WHERE id_player <> '' GROUP BY id_player")
 def player_per90(spark: SparkSession, d: str) -> DataFrame:
-    per = participations(spark, d).where("id_player <> ''").groupBy("id_player").agg(F.sum("minutes").alias("m"), *[F.sum(c).alias(c) for c in [*_PER90, "shotsOnTarget"]])
+    per = participations(spark, d, "id_player", "minutes", *_PER90, "shotsOnTarget").where("id_player <> ''").groupBy("id_player").agg(F.sum("minutes").alias("m"), *[F.sum(c).alias(c) for c in [*_PER90, "shotsOnTarget"]])
     return per.select(
         "id_player", F.coalesce("m", F.lit(0)).alias("minutes"), *[F.round(ratio(F.col(c), F.col("m"), 90.0), 6).alias(f"{c}_per90") for c in _PER90],
         F.round(ratio(F.col("shotsOnTarget"), F.col("totalShots"), 100.0), 6).alias("accuracy"),
@@ -183,7 +189,7 @@ def player_per90(spark: SparkSession, d: str) -> DataFrame:
 FROM p JOIN m USING (id_match) WHERE id_player <> '' GROUP BY id_player, id_competition, id_season""")
 def player_seasons(spark: SparkSession, d: str) -> DataFrame:
     season = matches(spark, d).select("id_match", "id_competition", "id_season")
-    joined = participations(spark, d).where("id_player <> ''").select("id_match", "id_player", "id_team", "minutes", "totalGoals").join(season, "id_match")
+    joined = participations(spark, d, "id_match", "id_player", "id_team", "minutes", "totalGoals").where("id_player <> ''").join(season, "id_match")
     return joined.groupBy("id_player", "id_competition", "id_season").agg(F.count("*").alias("matches"), _total("minutes").alias("minutes"), _total("totalGoals").alias("goals"), F.array_join(F.sort_array(F.collect_set("id_team")), ", ").alias("teams"))
 
 
@@ -193,10 +199,13 @@ _OWN = ["totalShots", "foulsCommitted", "yellowCards"]
 @query("""SELECT o.id_team, count(*) AS matches, """ + ", ".join(f"round(avg(o.{c}), 6) AS own_{c}, round(avg(x.{c}), 6) AS opponent_{c}" for c in _OWN) + f""" FROM (SELECT id_match, id_team, {_SUMS} FROM p WHERE id_match <> '' GROUP BY ALL) o
 JOIN (SELECT id_match, id_team, {_SUMS} FROM p WHERE id_match <> '' GROUP BY ALL) x ON o.id_match = x.id_match AND o.id_team <> x.id_team GROUP BY o.id_team""")
 def own_against_opponent(spark: SparkSession, d: str) -> DataFrame:
-    own = team_match_stats(participations(spark, d)).select("id_match", "id_team", *_OWN)
-    other = own.select("id_match", F.col("id_team").alias("_team"), *[F.col(c).alias(f"_{c}") for c in _OWN])
-    met = own.join(other, "id_match").where("id_team <> _team")
-    return met.groupBy("id_team").agg(F.count("*").alias("matches"), *[x for c in _OWN for x in (F.round(F.avg(c), 6).alias(f"own_{c}"), F.round(F.avg(f"_{c}"), 6).alias(f"opponent_{c}"))])
+    own = team_match_stats(participations(spark, d, "id_match", "id_team", *COUNTERS, "xg")).select("id_match", "id_team", *_OWN).where("id_team is not null")
+    # the opponents' sums of a match are its totals less the own part: one row per match joins, no pairs of teams
+    both = own.groupBy("id_match").agg(F.count("*").alias("_teams"), *[F.sum(c).alias(f"_{c}") for c in _OWN])
+    met = own.join(both, "id_match").where("_teams > 1")
+    other, rivals = lambda c: F.sum(F.col(f"_{c}") - F.col(c)), F.sum(F.col("_teams") - 1)
+    mine = lambda c: F.sum(F.col(c) * (F.col("_teams") - 1))
+    return met.groupBy("id_team").agg(rivals.alias("matches"), *[x for c in _OWN for x in (F.round(mine(c) / rivals, 6).alias(f"own_{c}"), F.round(other(c) / rivals, 6).alias(f"opponent_{c}"))])
 
 
 @query("""SELECT team, opponent, day, is_home, gf, ga, CASE WHEN gf > ga THEN 'W' WHEN gf = ga THEN 'D' WHEN gf < ga THEN 'L' END AS result FROM sides WHERE team = 'Real_Kelebion'""")
@@ -207,7 +216,7 @@ def team_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id_team, count(DISTINCT id_player) AS players, coalesce(sum(totalGoals), 0) AS goals, round(avg(coalesce(minutes, 0)), 6) AS mean_minutes FROM p WHERE id_player <> '' GROUP BY id_team")
 def squads(spark: SparkSession, d: str) -> DataFrame:
-    return participations(spark, d).where("id_player <> ''").groupBy("id_team").agg(F.countDistinct("id_player").alias("players"), _total("totalGoals").alias("goals"), F.round(F.avg(F.coalesce("minutes", F.lit(0))), 6).alias("mean_minutes"))
+    return participations(spark, d, "id_player", "id_team", "totalGoals", "minutes").where("id_player <> ''").groupBy("id_team").agg(F.countDistinct("id_player").alias("players"), _total("totalGoals").alias("goals"), F.round(F.avg(F.coalesce("minutes", F.lit(0))), 6).alias("mean_minutes"))
 
 
 @query("SELECT DISTINCT id_team, name, lower(strip_accents(name)) AS sort_key FROM teams")
@@ -222,43 +231,34 @@ def available_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT id_match, id_team, count(*) AS shots, count(*) FILTER (isGoal) AS goals, count(*) FILTER (cardType IS NOT NULL) AS cards FROM ev WHERE isShot OR cardType IS NOT NULL GROUP BY id_match, id_team""")
 def shot_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("isShot or cardType is not null")
+    e = events(spark, d, "id_match", "id_team", "isGoal", "cardType", where="isShot or cardType is not null")
     return e.groupBy("id_match", "id_team").agg(F.count("*").alias("shots"), F.count(F.when(F.col("isGoal"), 1)).alias("goals"), F.count("cardType").alias("cards"))
 
 
 @query("""SELECT id_team, count(*) AS passes, count(*) FILTER (regexp_matches(lower(outcomeType), 'unsuccess|fail|incomplete|inaccurate|error')) AS failed FROM ev WHERE lower(type) = 'pass' GROUP BY id_team""")
 def pass_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("lower(type) = 'pass'").groupBy("id_team").agg(F.count("*").alias("passes"), F.count(F.when(is_failed(F.col("outcomeType")), 1)).alias("failed"))
+    return events(spark, d, "id_team", "outcomeType", where="lower(type) = 'pass'").groupBy("id_team").agg(F.count("*").alias("passes"), F.count(F.when(is_failed(F.col("outcomeType")), 1)).alias("failed"))
 
 
 @query("""SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(qualifiers, '''displayName'': ''([^'']*)''', 1)) AS name FROM ev) GROUP BY name""")
 def qualifier_counts(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select(F.explode(qualifiers(F.col("qualifiers"))).alias("q")).groupBy(F.col("q.name").alias("name")).agg(F.count("*").alias("n"))
+    return events(spark, d, "qualifiers", where="qualifiers is not null").select(F.explode(qualifiers(F.col("qualifiers"))).alias("q")).groupBy(F.col("q.name").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT id_event, CASE WHEN contains(qualifiers, '''RightFoot''') AND NOT contains(split_part(qualifiers, '''RightFoot''', 1), '''LeftFoot''') AND NOT contains(split_part(qualifiers, '''RightFoot''', 1), '''Head''') THEN 'RightFoot'
 WHEN contains(qualifiers, '''LeftFoot''') AND NOT contains(split_part(qualifiers, '''LeftFoot''', 1), '''Head''') THEN 'LeftFoot' WHEN contains(qualifiers, '''Head''') THEN 'Head' END AS part, coalesce(contains(qualifiers, '''displayName'': ''Cross'''), false) AS is_cross FROM ev WHERE lower(type) IN ('pass', 'goal', 'missedshots')""")
 def event_features(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("lower(type) in ('pass', 'goal', 'missedshots')").withColumn("q", qualifiers(F.col("qualifiers")))
+    e = events(spark, d, "qualifiers", where="lower(type) in ('pass', 'goal', 'missedshots')").withColumn("q", qualifiers(F.col("qualifiers")))
     return e.select("id_event", body_part(F.col("q")).alias("part"), has_qualifier(F.col("q"), "Cross").alias("is_cross"))
 
 
-@query("""SELECT id_event, round(coalesce(expandedMinute, minute) + coalesce(second, 0) / 60, 6) AS at, CASE WHEN lower(cardType) LIKE '%second%' THEN 'second_yellow' WHEN lower(cardType) LIKE '%red%' THEN 'red' WHEN lower(cardType) LIKE '%yellow%' THEN 'yellow' END AS card,
+@query("""SELECT id_event, round(coalesce(expandedMinute, minute) + coalesce(second, 0) / 60, 6) AS at, CASE WHEN regexp_matches(lower(cardType), 'second|segunda') THEN 'second-yellow-card' WHEN regexp_matches(lower(cardType), 'red|roja') THEN 'red-card' WHEN cardType IS NOT NULL THEN 'yellow-card' END AS card,
 least(greatest(CASE WHEN lower(period) = 'secondhalf' THEN 100 - x ELSE x END, 0), 100) AS px FROM ev WHERE isGoal OR cardType IS NOT NULL OR isShot""")
 def pitch_events(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("isGoal or cardType is not null or isShot")
+    e = events(spark, d, "minute", "expandedMinute", "second", "cardType", "x", "y", "period", where="isGoal or cardType is not null or isShot")
     return e.select("id_event", F.round(clock(F.col("minute"), F.col("expandedMinute"), F.col("second")), 6).alias("at"), card_kind(F.col("cardType")).alias("card"), pitch_point(F.col("x"), F.col("y"), F.lower("period") == "secondhalf")["x"].alias("px"))
 
 
-@query()
-def match_timelines(spark: SparkSession, d: str) -> DataFrame:
-    """Goals, cards and substitutions of every match, side by side in lanes."""
-    e = events(spark, d).where("(isGoal or cardType is not null or type = 'SubstitutionOn') and id_match is not null and id_team is not null")
-    at = clock(F.col("minute"), F.col("expandedMinute"), F.col("second"))
-    shown = e.select(F.trim("id_match").alias("id_match"), "id_team", "id_event", F.coalesce(card_kind(F.col("cardType")), F.when(F.col("isGoal"), "goal").otherwise("substitution")).alias("kind"), timeline_left(at, F.lit(0.0), F.lit(100.0)).alias("left"))
-    return lanes(shown.where("left is not null"), ["id_match", "id_team"], "left", ["left", "id_event"])
-
-
 def match_graph(spark: SparkSession, d: str) -> DataFrame:
     """Matches, teams and weather as one set of triples."""
     m = matches(spark, d)
@@ -306,5 +306,5 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT id_player, array_to_string(list_sort(list(DISTINCT role)), ' | ') AS roles FROM (SELECT id_player, CASE WHEN position = 'GK' THEN 'goalkeeper' WHEN position IN ('DL', 'DC', 'DR', 'D') THEN 'defender' WHEN position LIKE 'FW%' THEN 'forward' WHEN position LIKE '%M%' THEN 'midfielder' END AS role FROM p WHERE id_player <> '' AND position IS NOT NULL) WHERE role IS NOT NULL GROUP BY id_player""")
 def player_roles(spark: SparkSession, d: str) -> DataFrame:
-    p = participations(spark, d).where("id_player <> '' and position is not null").select("id_player", F.explode(role_set(F.col("position"))).alias("role"))
+    p = participations(spark, d, "id_player", "position").where("id_player <> '' and position is not null").select("id_player", F.explode(role_set(F.col("position"))).alias("role"))
     return p.groupBy("id_player").agg(F.array_join(F.sort_array(F.collect_set("role")), " | ").alias("roles"))
