@@ -43,6 +43,11 @@ def triples(df: DataFrame, kind: str, key: str, label: str | None = None, proper
     return out.where("s is not null and trim(o) <> ''").distinct()
 
 
+def ratings_triples(ratings: DataFrame) -> DataFrame:
+    """Triples of rating records with their team and period; the canonical table of ratings has the columns."""
+    return triples(ratings, "EloRecord", "id_eloRecord", None, ["elo", "rank", "level", "dateFrom", "dateTo"], {"correspondsToTeam": ("Team", "id_team")})
+
+
 def merged(parts: list[DataFrame], distinct: bool = True) -> DataFrame:
     """The union of triple tables; as a set, or as the bag that concatenated files are."""
     whole = reduce(DataFrame.unionByName, parts)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchgrid.plans import data_problems, football, pages, star_queries
+from pitchgrid.plans import data_problems, football, integrity, pages, star_queries
 
-_MODULES = [star_queries, football, pages, data_problems]
+_MODULES = [star_queries, football, pages, integrity, data_problems]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}

@@ -57,8 +57,10 @@ def participations(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
     Only the row's own id and those columns are read and shuffled; a row's copies share all of them.
     """
-    rows = table(spark, d, "player_match_participation").select("id_playerMatchParticipation", *columns).distinct()
-    return rows.withColumns({c: F.trim(c) for c in ("id_match", "id_player") if c in columns}).drop("id_playerMatchParticipation")
+    key = "id_playerMatchParticipation"
+    rows = table(spark, d, "player_match_participation").select(*dict.fromkeys([key, *columns])).distinct()
+    rows = rows.withColumns({c: F.trim(c) for c in ("id_match", "id_player") if c in columns})
+    return rows if key in columns else rows.drop(key)
 
 
 def events(spark: SparkSession, d: str, *columns: str, where: str | None = None) -> DataFrame:
