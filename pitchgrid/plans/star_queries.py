@@ -59,14 +59,14 @@ def asof_value(spark: SparkSession, d: str) -> DataFrame:
     return asof(left, right, ["user_id"], "ts", "since", ["value"]).select("event_id", "user_id", "value")
 
 
-_PERIODS = """SELECT o_custkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS s, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate + INTERVAL 400 DAY END AS u, o_orderkey AS v FROM orders WHERE NOT (o_orderkey % 35 = 0)"""
+_PERIODS = """SELECT o_custkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS s, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate + INTERVAL 400 DAY END AS u, o_orderkey AS v FROM orders"""
 
 
 @query(f"""WITH p AS ({_PERIODS}), x AS (SELECT c_custkey, p.v, coalesce(p.s, p.u) AS f FROM customer c JOIN p ON p.k = c.c_custkey
 WHERE (s IS NOT NULL AND s <= TIMESTAMP '1998-01-01' AND (u IS NULL OR u >= TIMESTAMP '1998-01-01')) OR (s IS NULL AND u <= TIMESTAMP '1998-01-01'))
 SELECT c.c_custkey, y.v AS in_force FROM customer c LEFT JOIN (SELECT c_custkey, v FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY f DESC, v DESC) r FROM x) WHERE r = 1) y USING (c_custkey)""")
 def asof_open_interval(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 35 <> 0")
+    o = table(spark, d, "orders")
     periods = o.select(
         F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("s"),
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate") + F.expr("INTERVAL 400 DAYS")).alias("u"), F.col("o_orderkey").alias("in_force"),
@@ -125,15 +125,13 @@ def tagged_union_search(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(s).where(F.contains(F.lower("label"), F.lit("01"))).distinct()
 
 
-@query("""WITH t AS (SELECT p_brand AS b, p_size AS z, p_retailprice AS price, p_partkey AS k FROM part WHERE p_partkey % 3 = 0),
-e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b, z ORDER BY k DESC) r FROM t) WHERE r = 1),
-f AS (SELECT z, max(price) AS price FROM t GROUP BY z HAVING count(*) = 1)
-SELECT p_partkey, coalesce(e.price, f.price) AS price, CASE WHEN e.price IS NOT NULL THEN 'exact' WHEN f.price IS NOT NULL THEN 'fallback' END AS found_by
-FROM part p LEFT JOIN e ON p.p_brand = e.b AND p.p_size = e.z LEFT JOIN f ON p.p_size = f.z""")
-def fallback_lookup_price(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part")
-    known = part.where("p_partkey % 3 = 0").select("p_brand", "p_size", F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("k"))
-    return fallback_lookup(part.select("p_partkey", "p_brand", "p_size"), known, ["p_brand", "p_size"], ["p_size"], ["price"], ["k"]).select("p_partkey", "price", "found_by")
+@query("""SELECT c_custkey, coalesce(e.s_acctbal, f.s_acctbal) AS balance, CASE WHEN e.s_acctbal IS NOT NULL THEN 'exact' WHEN f.s_acctbal IS NOT NULL THEN 'fallback' END AS found_by
+FROM customer LEFT JOIN supplier e ON e.s_suppkey = c_custkey AND e.s_nationkey = c_nationkey LEFT JOIN supplier f ON f.s_suppkey = c_custkey""")
+def fallback_lookup_balance(spark: SparkSession, d: str) -> DataFrame:
+    """The supplier of a customer's number: in the customer's nation, else anywhere."""
+    known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    asked = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return fallback_lookup(asked, known, ["c_custkey", "nation"], ["c_custkey"], ["balance"], ["balance"]).select("c_custkey", "balance", "found_by")
 
 
 @query("""WITH per AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
@@ -185,9 +183,9 @@ def home_away_unpivot(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.inline(sides))
 
 
-@query("""SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'error') AS event_type, arg_min(value, event_id) AS value FROM (SELECT * FROM events WHERE value > 5) GROUP BY user_id""")
+@query("""SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'error') AS event_type, arg_min(value, event_id) AS value FROM events GROUP BY user_id""")
 def first_non_empty_value(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value > 5").withColumn("event_type", F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")))
+    e = table(spark, d, "events").withColumn("event_type", F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")))
     return first_non_empty(e, ["user_id"], ["event_type", "value"], "event_id")
 
 
@@ -248,13 +246,13 @@ def zero_imputed_avg(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'lineitem' AS tab, 'unique:l_orderkey,l_linenumber' AS rule, 'error' AS severity, count(*) AS failures FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
-UNION ALL SELECT 'lineitem', 'reference:l_partkey', 'error', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0)
+UNION ALL SELECT 'events', 'reference:user_id', 'error', count(*) FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT s_suppkey FROM supplier)
 UNION ALL SELECT 'lineitem', 'range:l_quantity', 'warning', count(*) FROM lineitem WHERE l_quantity > 45 OR l_quantity < 2
 UNION ALL SELECT 'lineitem', 'missing:l_returnflag', 'error', 0""")
 def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     rules = check(lines, "lineitem", [outside("l_quantity", 2, 45, severity="warning"), missing("l_returnflag")])
-    return unique_key(lines, "lineitem", _LINE).unionByName(closed_reference(lines, "lineitem", "l_partkey", table(spark, d, "part").where("p_partkey % 10 <> 0"), "p_partkey")).unionByName(rules)
+    return unique_key(lines, "lineitem", _LINE).unionByName(closed_reference(table(spark, d, "events"), "events", "user_id", table(spark, d, "supplier"), "s_suppkey")).unionByName(rules)
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(replace(replace(p_name, '_', ' '), '-', ' ')), 'blue b')")
@@ -267,10 +265,10 @@ def slug_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "teams").select("id_team", F.replace(F.lower(without_accents(F.col("name"))), F.lit(" "), F.lit("_")).alias("slug")).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity = 50 AND b.l_quantity = 50),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey),
 r AS (SELECT a AS vertex, a AS seen FROM e UNION SELECT r.vertex, e.b FROM r JOIN e ON r.seen = e.a) SELECT vertex, min(seen) AS component FROM r GROUP BY vertex""")
 def components_of_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    full = table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey").distinct()
+    full = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     low = full.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("b"))
     return components(full.join(low, "l_orderkey").select(F.col("l_suppkey").alias("a"), "b"))
 

@@ -134,3 +134,37 @@ def test_quality(spark):
     art = {r.rule: r.failures for r in artifact(df, "t", ["id", "gone"], "id").collect()}
     assert art == {"column:gone": 1, "not_empty": 0, "missing:id": 1, "unique:id": 1}
     assert {r.rule: r.failures for r in artifact(df.limit(0), "t", ["id"], "id").collect()}["not_empty"] == 1
+
+
+def test_long_keys_are_cut_into_pieces(spark):
+    """A key of most rows, read in pieces, gives what the whole would."""
+    rnd = random.Random(9)
+    left = [(i, "hot" if i % 5 else "cold", float(rnd.randrange(3000)) if i % 17 else None) for i in range(400)]
+    right = [("hot" if i % 4 else "cold", float(rnd.randrange(3000)), i) for i in range(300)] + [("hot", 5.0, 900), ("hot", 5.0, 901), ("hot", None, 7)]
+    le = spark.createDataFrame(left, "id int, k string, at double")
+    ri = spark.createDataFrame(right, "k string, s double, v int")
+    got = {r.id: r.v for r in asof(le, ri, ["k"], "at", "s", ["v"], long_key=20).collect()}
+    best = lambda k, t: max(((s, v) for kk, s, v in right if t is not None and kk == k and s is not None and s <= t), default=(None, None))[1]
+    assert got == {i: best(k, t) for i, k, t in left}
+
+
+def test_overlapping_intervals_against_brute_force(spark):
+    rnd = random.Random(3)
+    right = [("t", s if rnd.random() < 0.9 else None, s + rnd.randrange(1, 60) if rnd.random() < 0.8 else None, i) for i, s in enumerate(rnd.randrange(200) for _ in range(80))]
+    left = [(i, "t", rnd.randrange(-5, 260)) for i in range(120)]
+    got = {r.id: r.v for r in asof_interval(spark.createDataFrame(left, "id int, k string, at int"), spark.createDataFrame(right, "k string, s int, u int, v int"), ["k"], "at", "s", "u", ["v"], "id").collect()}
+
+    def want(t):
+        fits = [(s if s is not None else u, v) for _, s, u, v in right if s is not None and s <= t and (u is None or u >= t) or s is None and u is not None and u <= t]
+        return max(fits, default=(None, None))[1]
+
+    assert got == {i: want(t) for i, _, t in left}
+
+
+def test_near_at_the_date_line_and_the_pole(spark):
+    rows = [("a", 10.0, 179.9999), ("b", 10.0, -179.9999), ("c", 89.9999, 0.0), ("d", 89.9999, 180.0), ("e", 0.0, 0.0)] + [(f"f{i}", 20.0, 20.0) for i in range(30)] + [("g", 20.0009, 20.0), ("h", 20.0018, 20.0)]
+    df = spark.createDataFrame(rows, "k string, y double, x double")
+    groups = {}
+    for r in near_groups(df, "k", "y", "x").collect():
+        groups.setdefault(r.component, set()).add(r.vertex)
+    assert sorted(map(sorted, groups.values())) == sorted([["a", "b"], ["c", "d"], sorted([f"f{i}" for i in range(30)] + ["g", "h"])])
