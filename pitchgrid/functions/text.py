@@ -263,3 +263,26 @@ def canonical_team(df: DataFrame, team: str, aliases: DataFrame, out: str) -> Da
 
     table = aliases.select(F.lower(identifier(F.col("alias"))).alias("_k"), F.col("canonical").alias("_c")).dropDuplicates(["_k"])
     return df.withColumn("_k", F.lower(identifier(F.col(team)))).join(small(table), "_k", "left").withColumn(out, F.coalesce("_c", team)).drop("_k", "_c")
+
+
+def resolve_column(columns: list[str], candidates: list[str]) -> str | None:
+    """The first of the candidates that is among the columns."""
+    return next((c for c in candidates if c in columns), None)
+
+
+def renamed(df: DataFrame, mapping: dict[str, tuple[str, str]]) -> DataFrame:
+    """The columns that ``mapping`` names, as (new name, type); what cannot be cast is NULL, an absent column too."""
+    return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast("string").try_cast(kind).alias(name) for c, (name, kind) in mapping.items()])
+
+
+def in_target(df: DataFrame, season: str | None, seasons: list[str], competition: str | None = None, competitions: list[str] | None = None) -> DataFrame:
+    """Rows of the target seasons and competitions by their normalised labels; without a season column none."""
+    if season is None or season not in df.columns:
+        return df.limit(0)
+    out = df.where(season_id(F.col(f"`{season}`")).isin(seasons))
+    return out.where(competition_id(F.col(f"`{competition}`")).isin(competitions or [])) if competition else out
+
+
+def fill_blank(column: Column, default: str) -> Column:
+    """``default`` for a blank or missing value."""
+    return F.when(clean_text(column) == "", default).otherwise(column)

@@ -59,3 +59,17 @@ def gaps(expected: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 def in_scope(df: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose key ``scope`` has; a composite semi-join."""
     return df.join(small(scope.select(*keys).distinct()), keys, "left_semi")
+
+
+def unresolved(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows) of what :func:`fallback_lookup` found by neither key, the most frequent first."""
+    return found.where("found_by is null").groupBy(*keys).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), *keys)
+
+
+def chained_lookup(df: DataFrame, tables: list[DataFrame], key: str, values: list[str]) -> DataFrame:
+    """``df`` with the values of the first table, in order, that has a filled one for the key; each table's first row of a key counts."""
+    out = df
+    for i, t in enumerate(tables):
+        out = out.join(t.dropDuplicates([key]).select(key, *[F.col(v).alias(f"_{i}_{v}") for v in values]), key, "left")
+    each = lambda v: [F.when(F.trim(F.col(f"_{i}_{v}").cast("string")) != "", F.col(f"_{i}_{v}")) for i in range(len(tables))]
+    return out.select(*df.columns, *[F.coalesce(*each(v)).alias(v) for v in values])

@@ -280,13 +280,19 @@ def graph_predicates(spark: SparkSession, d: str) -> DataFrame:
     return match_graph(spark, d).groupBy(F.regexp_replace("p", "^.*[/#]", "").alias("p")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""SELECT '<http://example.org/pitchgrid/resource/' || k || '/' || s || '> <' || CASE p WHEN 'type' THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' WHEN 'label' THEN 'http://www.w3.org/2000/01/rdf-schema#label' ELSE 'http://example.org/pitchgrid/ontology/' || p END || '> ' ||
+CASE t WHEN 'class' THEN '<http://example.org/pitchgrid/ontology/' || o || '>' WHEN 'string' THEN '"' || replace(replace(o, '\', '\\'), '"', '\"') || '"^^<http://www.w3.org/2001/XMLSchema#string>' WHEN 'integer' THEN '"' || o || '"^^<http://www.w3.org/2001/XMLSchema#integer>' WHEN 'double' THEN '"' || o || '"^^<http://www.w3.org/2001/XMLSchema#double>' ELSE '<http://example.org/pitchgrid/resource/' || t || '/' || o || '>' END || ' .' AS value FROM (
+SELECT DISTINCT 'Match' AS k, id_match AS s, p, o, t FROM m, LATERAL (VALUES ('type', 'Match', 'class'), ('label', coalesce(name, id_match), 'string'), ('day', day, 'string'), ('homeScore', homeScore::text, 'integer'), ('awayScore', awayScore::text, 'integer'), ('attendance', attendance::text, 'integer'), ('matchStatus', matchStatus, 'string'), ('belongsToCompetition', id_competition, 'Competition'), ('belongsToSeason', id_season, 'Season')) v(p, o, t) WHERE trim(o) <> ''
+UNION ALL SELECT DISTINCT 'Team', id_team, p, o, t FROM teams, LATERAL (VALUES ('type', 'Team', 'class'), ('label', coalesce(name, id_team), 'string'), ('team_code', team_code, 'string'), ('country', country, 'string')) v(p, o, t) WHERE trim(o) <> ''
+UNION ALL SELECT DISTINCT 'WeatherObservation', id_weatherObservation, p, o, t FROM weather_observations, LATERAL (VALUES ('type', 'WeatherObservation', 'class'), ('label', id_weatherObservation, 'string'), ('temperature', CASE WHEN isnan(temperature) THEN 'NaN' ELSE temperature::text END, 'double'), ('humidity', CASE WHEN isnan(humidity) THEN 'NaN' ELSE humidity::text END, 'double'), ('ofMatch', nullif(trim(id_match, E' \t\n\r'), ''), 'Match')) v(p, o, t) WHERE trim(o) <> '')""")
 def graph_lines(spark: SparkSession, d: str) -> DataFrame:
     """The graph as N-Triples lines."""
     return ntriples(match_graph(spark, d))
 
 
-@query()
+@query(""", g AS (SELECT DISTINCT id_stadium AS k, radians(latitude) AS y, radians(longitude) AS x FROM stadiums WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)),
+pairs AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.k <> b.k AND abs(a.y - b.y) < 0.0001 WHERE 2 * 6371000 * asin(sqrt(least(1, pow(sin((b.y - a.y) / 2), 2) + cos(a.y) * cos(b.y) * pow(sin((b.x - a.x) / 2), 2)))) <= 200),
+reach AS (SELECT a AS vertex, a AS seen FROM pairs UNION SELECT vertex, b FROM reach JOIN pairs ON seen = a) SELECT vertex, min(seen) AS component FROM reach GROUP BY vertex""")
 def stadium_groups(spark: SparkSession, d: str) -> DataFrame:
     """Grounds that lie within 200 m of each other, directly or through others."""
     return near_groups(table(spark, d, "stadiums"), "id_stadium", "latitude", "longitude")
@@ -310,3 +316,6 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
 def player_roles(spark: SparkSession, d: str) -> DataFrame:
     p = participations(spark, d, "id_player", "position").where("id_player <> '' and position is not null").select("id_player", F.explode(role_set(F.col("position"))).alias("role"))
     return p.groupBy("id_player").agg(F.array_join(F.sort_array(F.collect_set("role")), " | ").alias("roles"))
+
+
+SQL["stadium_groups"] = SQL["stadium_groups"].replace("WITH m AS", "WITH RECURSIVE m AS", 1).replace("away, home, false, awayScore, homeScore FROM m)\n, g AS", "away, home, false, awayScore, homeScore FROM m), g AS")

@@ -23,6 +23,44 @@ class Task:
     per_scope: bool = False
 
 
+@dataclass(frozen=True)
+class Artifact:
+    """What a task leaves behind: a path with places for league and season, the columns it must have, its key."""
+
+    path: str
+    required: tuple[str, ...] = ()
+    key: str | None = None
+    per_scope: bool = False
+
+    def paths(self, scope: list[tuple[str, str]]) -> list[str]:
+        return [self.path.format(league=league, season=season) for league, season in scope] if self.per_scope else [self.path]
+
+
+def artifact_failures(artifact: Artifact, scope: list[tuple[str, str]], read: Callable[[str], object]) -> list[str]:
+    """What is wrong with an artefact's files; ``read`` gives a path's table or raises."""
+    from pitchgrid.operators.quality import artifact as check_table
+
+    wrong = []
+    for path in artifact.paths(scope):
+        try:
+            table = read(path)
+        except Exception as error:  # noqa: BLE001
+            wrong.append(f"{path}: {error}")
+            continue
+        if artifact.key:
+            wrong += [f"{path}: {r['rule']}" for r in check_table(table, path, list(artifact.required), artifact.key).where("failures > 0").collect()]
+    return wrong
+
+
+def merged_payload(entry: dict, payload: dict | None) -> dict:
+    """An audit entry with what a child process says of itself: the worse status, its metrics, warnings and errors added."""
+    rank = ["OK", "WARNING", "SKIPPED", "ERROR"]
+    child = payload or {}
+    status = max(entry.get("status", "OK"), str(child.get("status", "OK")).upper(), key=lambda s: rank.index(s) if s in rank else len(rank))
+    lists = {k: [*entry.get(k, []), *child.get(k, [])] for k in ("warnings", "errors") if entry.get(k) or child.get(k)}
+    return entry | {"status": status, "metrics": {**entry.get("metrics", {}), **child.get("metrics", {})}} | lists
+
+
 @dataclass
 class Audit:
     """What became of every task."""
