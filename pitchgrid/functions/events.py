@@ -42,6 +42,16 @@ def qualifiers_exact(text: Column) -> Column:
     return _literal_qualifiers(text)
 
 
+def require_qualifiers(df: DataFrame, column: str) -> DataFrame:
+    """``df``, or ValueError with examples if a filled text of ``column`` is no list of qualifiers, by Python's own parser too."""
+    text = F.trim(F.col(column))
+    lost = df.where((text != "") & (F.lower(text) != "nan") & qualifiers(F.col(column)).isNull()).select(column)
+    examples = [r[0] for r in lost.where(qualifiers_exact(F.col(column)).isNull()).limit(5).collect()]
+    if examples:
+        raise ValueError(f"no qualifiers, for example {[x[:120] for x in examples]}")
+    return df
+
+
 def has_qualifier(q: Column, name: str) -> Column:
     return F.coalesce(F.exists(q, lambda x: F.lower(x["name"]) == name.lower()), F.lit(False))
 

@@ -8,7 +8,6 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +61,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is set (tests) make a local one."""
+    """Use the cluster's shared folder; only a local session without one gets a folder of its own, a cluster raises."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="pitchgrid-checkpoint-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
@@ -80,13 +81,3 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Cache on disk where a frame is read twice and recomputing it is safe but wasteful."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def column_names(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Project ``wanted`` and nothing else, so columns with clashing names cannot interfere."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])

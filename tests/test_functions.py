@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pitchgrid.functions import display as D
@@ -51,6 +52,13 @@ def test_qualifiers(spark):
     assert one(spark, text, lambda c: E.body_part(E.qualifiers(c))) == "Head"
 
 
+def test_broken_qualifiers_are_an_error(spark):
+    good = spark.createDataFrame([("[{'type': {'displayName': 'Head'}}]",), (None,), ("",)], "q string")
+    assert E.require_qualifiers(good, "q").count() == 3
+    with pytest.raises(ValueError):
+        E.require_qualifiers(good.unionByName(spark.createDataFrame([("[{'type': ",)], "q string")), "q")
+
+
 def test_event_kinds(spark):
     row = lambda *c: spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(c)]).first()[:]
     assert [one(spark, v, E.card_kind) for v in ("SecondYellow", "Segunda amarilla", "Red", "Tarjeta roja", "Yellow", "?", None)] == ["second-yellow-card", "second-yellow-card", "red-card", "red-card", "yellow-card", "yellow-card", None]
