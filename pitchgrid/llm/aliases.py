@@ -140,16 +140,18 @@ def players_of(names: list[list[tuple[str, ...]]], matcher: Matcher) -> list[int
 
 
 def alias_clusters(aliases: DataFrame) -> DataFrame:
-    """(block, alias_id, observed_name, player): every row with a complete block and the player it means.
+    """(squad, alias_id, observed_name, player): every row with a complete block and the player it means.
 
-    A block is a non-null (id_team, id_season, id_competition). Rows whose names have no letters get a
-    player of their own; NULL names are skipped; exact copies are one row; a repeated alias_id with other
+    A block is a non-null (id_team, id_season, id_competition). Rows whose names have no letters mean one
+    player per spelling; NULL names are skipped; exact copies are one row; a repeated alias_id with other
     names stays once per spelling. Two small word lists learned from all rows go to the tasks: given
     names (at most 20 times the words of a squad) and nicknames.
     """
     keys = ["id_team", "id_season", "id_competition"]
+    spelling = [*NAME_FIELDS, "id_player"]
     rows = aliases.where(" and ".join(f"{k} is not null" for k in keys)).select(
-        F.xxhash64(*keys).alias("block"), F.concat_ws("|", *keys).alias("squad"), F.col("alias_id").cast("long").alias("alias_id"), *NAME_FIELDS, "id_player"
+        F.xxhash64(*keys).alias("block"), F.concat_ws("|", *keys).alias("squad"), F.col("alias_id").cast("long").alias("alias_id"), *spelling,
+        F.md5(F.to_json(F.array(*[F.struct(F.col(c).cast("string").alias("v")) for c in spelling]))).alias("spelled"),
     ).distinct()
     rows = cut(rows)
     given = given_names(rows)
@@ -158,7 +160,7 @@ def alias_clusters(aliases: DataFrame) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         matcher = matcher_for(given, nick)
         names = []
-        for r in frame[[*NAME_FIELDS, "id_player"]].itertuples(index=False):
+        for r in frame[spelling].itertuples(index=False):
             own = {tokens(x) for x in r[:4] if isinstance(x, str)}
             if isinstance(r[4], str):
                 own.add(tokens(r[4].replace("_", " ")))
@@ -166,9 +168,13 @@ def alias_clusters(aliases: DataFrame) -> DataFrame:
         distinct = sorted({tuple(n) for n in names})
         number = dict(zip(distinct, players_of([list(n) for n in distinct], matcher)))
         player = [number[tuple(n)] if n else -1 - k for k, n in enumerate(names)]
-        return pd.DataFrame({"squad": frame["squad"], "alias_id": frame["alias_id"], "observed_name": frame["observed_name"], "player": player})
+        return pd.DataFrame({"squad": frame["squad"], "spelled": frame["spelled"], "player": player})
 
-    return rows.groupBy("block", "squad").applyInPandas(run, "squad string, alias_id long, observed_name string, player long")
+    # a squad is one task over its different spellings, however many rows repeat them
+    spellings = rows.select("block", "squad", "spelled", *spelling).dropDuplicates(["squad", "spelled"])
+    players = spellings.groupBy("block", "squad").applyInPandas(run, "squad string, spelled string, player long")
+    found = rows.select("squad", "spelled", "alias_id", "observed_name").join(players, ["squad", "spelled"])
+    return found.select("squad", "alias_id", "observed_name", "player")
 
 
 def alias_pairs(clusters: DataFrame) -> DataFrame:
