@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchgrid.runtime import cut
+
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -67,9 +69,14 @@ def joined_values(c: str | Column, separator: str = " | ") -> Column:
 def number_suffixes(df: DataFrame, base: str, order: str, out: str) -> DataFrame:
     """Ids that clash get ``_2``, ``_3``, ... in ``order``; the first keeps its base.
 
-    A base that is itself another base's suffixed form is moved on until the ids are unique.
+    Where a suffixed id is itself another row's, the later of the two moves on to its next number, round by
+    round, until all ids are unique; a number only grows, so the rounds end. A row whose id is its plain base
+    comes before one with a suffix.
     """
-    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(base).orderBy(order)))
-    named = numbered.withColumn(out, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_n").cast("string"))))
-    again = named.withColumn("_n", F.row_number().over(Window.partitionBy(out).orderBy(F.col("_n"), order)))
-    return again.withColumn(out, F.when(F.col("_n") == 1, F.col(out)).otherwise(F.concat(F.col(out), F.lit("_"), F.col("_n").cast("string")))).drop("_n")
+    start = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    named = lambda n: F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string")))
+    rows = cut(df.withColumn("_n", start).withColumn(out, named(F.col("_n"))))
+    while rows.groupBy(out).agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        place = F.row_number().over(Window.partitionBy(out).orderBy((F.col("_n") > 1).cast("int"), "_n", order))
+        rows = cut(rows.withColumn("_p", place).withColumn("_n", F.when(F.col("_p") > 1, F.col("_n") + 1).otherwise(F.col("_n"))).drop("_p").withColumn(out, named(F.col("_n"))))
+    return rows.drop("_n")
