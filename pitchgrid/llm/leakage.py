@@ -23,7 +23,7 @@ BLOCK, QUERY_WORDS, QUERY_STEP = 14, 16, 4
 #: passages join them). Counts and search cover all passages.
 FIT_PASSAGES = 60_000
 #: Cosine from which a passage is a candidate. Features weigh idf squared, so that names and figures count most;
-#: on the test tables every true passage then lies above 0.8 and one passage in fifty has a candidate item.
+#: on the test tables every true passage then lies above 0.75 and one passage in forty has a candidate item.
 CANDIDATE_COSINE = 0.5
 #: A leak repeats so many words, with at most one error in so many.
 LEAK_WORDS, ERROR_EVERY = 14, 6
