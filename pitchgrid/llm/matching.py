@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid.llm.aliases import given_names
 from pitchgrid.llm.groups import connected_components
-from pitchgrid.llm.names import Matcher, fold, matcher_for, may_share_a_word, signatures, sparse_assignment, token_similarity, tokens
+from pitchgrid.llm.names import Matcher, fold, matcher_for, may_be_nicknames, may_share_a_word, nickname_bits, signatures, sparse_assignment, token_similarity, tokens
 from pitchgrid.runtime import cut
 
 #: Records a record is compared with in each sort order, and records of a sort order one task compares.
@@ -241,18 +241,18 @@ def match_observations(observations: DataFrame, width: int = WINDOW, block: int
     ends = ["a", "b", "sources", "confidence"]
 
     def compare(frame: pd.DataFrame, own: int) -> pd.DataFrame:
-        """Only pairs that may share a word (:func:`may_share_a_word`, all pairs of a block at once) are compared word by word."""
+        """Only pairs that may share a word or a nickname (all pairs of a block at once) are compared word by word."""
         matcher = matcher_for(given, nick)
         rows = list(frame[["obs_id", "source", "observed_name", "id_team", "positions"]].itertuples(index=False))
         names = [tokens(r.observed_name) for r in rows]
-        first, letters = signatures(names)
+        (first, letters), bits = signatures(names), nickname_bits(names, nick)
         sources, scopes, kinds = (pd.factorize(c)[0] for c in (frame["source"], frame["scope"], frame["key"].str[:1]))
         found = []
         for d in range(1, width):
             i = np.arange(min(own, len(rows) - d))
             j = i + d
             met = (sources[i] != sources[j]) & (scopes[i] == scopes[j]) & (kinds[i] == kinds[j])
-            met &= may_share_a_word((first[i], letters[i]), (first[j], letters[j]))
+            met &= may_share_a_word((first[i], letters[i]), (first[j], letters[j])) | may_be_nicknames(bits[i], bits[j])
             for x, y in zip(i[met].tolist(), j[met].tolist()):
                 level = matcher.level(names[x], names[y])
                 if level > 0 and (pair := scored(rows[x], rows[y], level)):
@@ -271,7 +271,7 @@ def match_observations(observations: DataFrame, width: int = WINDOW, block: int
         names, held = by_name(left)
         others, theirs = (names, held) if right is None else by_name(right)
         (fa, la), (fb, lb) = signatures(names), signatures(others)
-        met = may_share_a_word((fa[:, None], la[:, None]), (fb[None], lb[None]))
+        met = may_share_a_word((fa[:, None], la[:, None]), (fb[None], lb[None])) | may_be_nicknames(nickname_bits(names, nick)[:, None], nickname_bits(others, nick)[None])
         found = []
         for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(met) if right is None else met))):
             level = matcher.level(names[i], others[j])

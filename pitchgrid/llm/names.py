@@ -198,7 +198,7 @@ def signatures(names: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def may_share_a_word(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """False only where :meth:`Matcher.level` of two names is 0, from their :func:`signatures`; leading axes broadcast.
+    """False only where :meth:`Matcher.level` of two names is 0, nicknames aside, from their :func:`signatures`; leading axes broadcast.
 
     Words that :func:`token_similarity` finds alike by three edits differ in six letters at most, by more
     than one edit or as a beginning only with the same first letter; a beginning has no letters of its own.
@@ -212,6 +212,25 @@ def may_share_a_word(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return out
 
 
+def nickname_bits(names: list[tuple[str, ...]], nicknames: frozenset[tuple[str, str]]) -> np.ndarray:
+    """Two columns of bits for every name: the pairs of nicknames whose first, and whose second, word it holds (pairs share 64 bits)."""
+    of: dict[str, list[int]] = {}
+    for k, (a, b) in enumerate(sorted(nicknames)):
+        of.setdefault(a, [0, 0])[0] |= 1 << k % 64
+        of.setdefault(b, [0, 0])[1] |= 1 << k % 64
+    out = np.zeros((len(names), 2), dtype=np.uint64)
+    for i, name in enumerate(names):
+        for t in name:
+            if t in of:
+                out[i] |= np.array(of[t], dtype=np.uint64)
+    return out
+
+
+def may_be_nicknames(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False only where no word of one name is a nickname of a word of the other, from their :func:`nickname_bits`."""
+    return ((a[..., 0] & b[..., 1]) | (a[..., 1] & b[..., 0])) != 0
+
+
 class Matcher:
     """Compares names token by token, knowing the given names and nicknames that a corpus uses."""
 

@@ -95,3 +95,30 @@ def test_family_name_behind_the_eighth_word():
     given = ("ana", "bea", "cleo", "dora", "elsa", "fara", "gina", "hana")
     m = Matcher(frozenset(given))
     assert m.level((*given, "mirtarro"), ("ana", "mirtaro")) == 3 and m.level((*given, "mirtarro"), ("ana", "kovacs")) <= 0
+
+
+def test_filter_drops_only_pairs_with_nothing_in_common():
+    """Whatever :func:`may_share_a_word` and :func:`may_be_nicknames` drop has level 0; they do drop."""
+    import random
+
+    from pitchgrid.llm.names import Matcher, may_be_nicknames, may_share_a_word, nickname_bits, signatures
+
+    rnd = random.Random(8)
+    stems = ["vasovic", "zanko", "brexileiro", "tionaldo", "pelranovic", "kim", "skavissson", "marco", "paco", "francisco", "leo", "leonardo"]
+
+    def typed(word):
+        letters = list(word)
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(letters))
+            letters[at : at + 1] = rnd.choice([[], [rnd.choice("abcdeiklnorstvz")], [letters[at], rnd.choice("aeiou")]])
+            letters = letters or ["a"]
+        return "".join(letters)[: rnd.choice([1, 2, 3, 4, 20, 20, 20])]
+
+    names = [tuple(typed(rnd.choice(stems)) for _ in range(rnd.randrange(1, 4))) for _ in range(220)]
+    nick = frozenset({("francisco", "paco"), ("leo", "leonardo")})
+    matcher = Matcher(frozenset({"marco"}), nick)
+    first, letters = signatures(names)
+    bits = nickname_bits(names, nick)
+    may = may_share_a_word((first[:, None], letters[:, None]), (first[None], letters[None])) | may_be_nicknames(bits[:, None], bits[None])
+    lost = [(names[i], names[j]) for i in range(220) for j in range(220) if not may[i, j] and names[i] != names[j] and matcher.level(names[i], names[j]) != 0]
+    assert not lost and 0 < may.mean() < 0.5
