@@ -246,7 +246,8 @@ def fit_sample(words: DataFrame, passages: int) -> DataFrame:
             features = np.where(used, _features(codes), FEATURES)
             drawn = first[lot < limit], last[lot < limit]
             both = np.concatenate([features[drawn[0]], np.where((drawn[1] > drawn[0])[:, None], features[drawn[1]], FEATURES)], axis=1)
-            yield pd.DataFrame({"features": list(both.astype(np.int32))})
+            # a batch of blank texts, or of a large corpus, may draw none; without a dtype an empty column would be one of floats
+            yield pd.DataFrame({"features": pd.Series(list(both.astype(np.int32)), dtype=object)})
 
     return words.mapInPandas(run, "features array<int>")
 

@@ -120,6 +120,18 @@ def test_leaks(spark):
     assert L.leaked_items(docs.limit(0), items).count() == 0 and L.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_batches_that_draw_no_passage(spark):
+    """A task of blank texts alone, and a sample so thin that batches of a large corpus add nothing to it."""
+    leak = "tally that Hizexano proposed after losing 35 duels in Plebristeix moved the hinge nearly 54 metres"
+    full = spark.createDataFrame([(1, leak), (2, "the home crowd sang through the rain " * 9)], "doc_id long, text string").coalesce(1)
+    blank = spark.createDataFrame([(i, " .") for i in range(10, 14)], full.schema).coalesce(1)
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, item_text string")
+    assert {(r.doc_id, r.item_id) for r in L.leaked_items(full.union(blank), items).collect()} == {(1, 1)}
+    assert L.leaked_items(blank, items).count() == 0
+    assert L.fit_sample(L.word_codes(full.union(blank)), 10**12).count() == 0
+    assert L.fit_sample(L.word_codes(full.union(blank)), 1).count() == 1 + 4  # 16 and 63 words: 2 and 5 blocks
+
+
 def test_truncation(spark):
     rows = [(i, "wire", ("word " * 60)[: 118 - i % 3] + ".") for i in range(30)] + [(100 + i, "wire", ("abc defg " * 60)[i : i + 200]) for i in range(12)]
     rows += [(200, "t", "12' Goal - Ana Ruiz\n51' Foul for Eva Diaz"), (201, "t", "Full story told.\nReport by staff"), (202, "t", "Another text.\nReport by staff"), (203, "t", "It ends here.\n(desk/ml)"), (204, "t", "It stops in the midd"), (205, "t", 'She said: "Yes."'), (206, "t", "Done.</p> &nbsp; \n"), (207, "t", ""), (208, "t", None), (209, None, "cut of"), (209, None, "cut of"), (210, "t", "x" * 50000 + " " * 20000), (211, "t", "half a charact�"), (212, "t", "It is over.\nDesk: " + "long list of names, " * 30 + "and one")]
