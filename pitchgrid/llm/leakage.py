@@ -363,31 +363,38 @@ def aligned_runs(docs: list[np.ndarray], items: list[np.ndarray], errors: int =
     """(words, end in item) of the longest run of item words that each document region repeats, or zeros.
 
     A run is in order and unbroken but for at most one word in :data:`ERROR_EVERY` replaced in or added
-    to the document, ``errors`` at most. ``best[p, e, j]`` is the longest run of pair p that ends at item
-    word j with e errors; all pairs move on by one document word at a time.
+    to the document, ``errors`` at most. ``best[e, j, p]`` is the longest run of pair p that ends at item
+    word j with e errors, below 0 where there is none; all pairs move on by one document word at a time.
     """
     rows, m, n = len(docs), max(map(len, items), default=0), max(map(len, docs), default=0)
-    item = np.full((rows, m), -1, dtype=np.int64)
-    doc = np.full((rows, n), -2, dtype=np.int64)
+    item = np.full((m, rows), -1, dtype=np.int64)
+    doc = np.full((n, rows), -2, dtype=np.int64)
     for p in range(rows):
-        item[p, : len(items[p])] = items[p]
-        doc[p, : len(docs[p])] = docs[p]
-    best = np.zeros((rows, errors + 1, m + 1), dtype=np.int16)
+        item[: len(items[p]), p] = items[p]
+        doc[: len(docs[p]), p] = docs[p]
+    kind = np.int16 if m < 1 << 13 else np.int32
+    none = kind(np.iinfo(kind).min // 2)
+    best = np.full((errors + 1, m + 1, rows), none, dtype=kind)
+    fresh, moved = best.copy(), np.empty((errors, m, rows), dtype=kind)
     longest, ends = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
-    least = ERROR_EVERY * np.arange(errors + 1, dtype=np.int16)[None, :, None]
+    least = ERROR_EVERY * np.arange(errors + 1)[:, None]
     for step in range(n):
-        same = item == doc[:, step, None]
-        fresh = np.zeros_like(best)
-        fresh[:, :, 1:] = np.where(same[:, None], best[:, :, :-1] + 1, 0)
+        same = item == doc[step]
+        np.maximum(best[:, :-1], 0, out=fresh[:, 1:])
+        fresh[:, 1:] += np.where(same, kind(1), none)
         # replaced: both sides move on; added: the document alone does; a run starts and ends with a match
-        np.maximum(fresh[:, 1:, 1:], np.where(best[:, :-1, :-1] > 0, best[:, :-1, :-1] + 1, 0), out=fresh[:, 1:, 1:])
-        np.maximum(fresh[:, 1:], best[:, :-1], out=fresh[:, 1:])
-        best = fresh
-        hit = np.where(same[:, None] & (best[:, :, 1:] >= least), best[:, :, 1:], 0).max(axis=1)
-        top = hit.argmax(axis=1)
-        value = hit[np.arange(rows), top]
-        better = value > longest
-        longest[better], ends[better] = value[better], top[better] + 1
+        np.add(best[:-1, :-1], 1, out=moved)
+        np.maximum(fresh[1:, 1:], moved, out=fresh[1:, 1:])
+        np.maximum(fresh[1:], best[:-1], out=fresh[1:])
+        best, fresh = fresh, best
+        at, pair = np.nonzero(same)
+        hit = best[:, at + 1, pair].astype(np.int64)
+        hit = np.where(hit >= least, hit, 0).max(axis=0)
+        better = np.flatnonzero(hit > longest[pair])
+        if len(better):
+            better = better[np.lexsort((at[better], -hit[better], pair[better]))]
+            own, first = np.unique(pair[better], return_index=True)
+            longest[own], ends[own] = hit[better[first]], at[better[first]] + 1
     return longest, ends
 
 
@@ -451,8 +458,10 @@ class Index:
         at, items, values = [], [], []
         for s in range(0, len(latent), 4096):
             cosine = latent[s : s + 4096] @ self.query.T
-            near, which = np.nonzero(cosine >= CANDIDATE_COSINE)
-            if len(near):
+            rows_near = np.flatnonzero(cosine.max(axis=1) >= CANDIDATE_COSINE)
+            if len(rows_near):
+                near, which = np.nonzero(cosine[rows_near] >= CANDIDATE_COSINE)
+                near = rows_near[near]
                 key, back = np.unique(near * len(self.wanted) + self.owner[which], return_inverse=True)
                 top = np.zeros(len(key), dtype=np.float32)
                 np.maximum.at(top, back, cosine[near, which])
